@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import chat, media, mixing, topk
-from termweave.llm.common import read
+from termweave.llm import chat, editcount, media, mixing, packing, topk
+from termweave.llm.common import read, text_of
 
 ODD_TURN = "\\### Assistant: </turn> ok"
 
@@ -28,12 +28,24 @@ def op4_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(odd)))
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to each document: words put in after a third, 40 characters cut from the middle, the last ten replaced."""
+    n = F.length(text_of()).cast("int")
+    edit = lambda start, end, new: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(new).alias("text"))
+    edits = F.array(edit(n / 3, n / 3, " (put in later) "), edit(n / 2, n / 2 + 40, ""), edit(n - 34, n - 24, "the end."))
+    return editcount.count_after_edits(read(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_format_chat, op8_exact_top_k)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_format_chat, op7_pack, op8_exact_top_k, op10_token_counts)}
 
 
 OP1_SQL = r"""
