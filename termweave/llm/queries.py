@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import chat, editcount, media, mixing, packing, topk
+from termweave.llm import chat, editcount, media, mixing, neardup, packing, topk
 from termweave.llm.common import read, text_of
 
 ODD_TURN = "\\### Assistant: </turn> ok"
@@ -36,6 +36,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), n=4)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits to each document: words put in after a third, 40 characters cut from the middle, the last ten replaced."""
     n = F.length(text_of()).cast("int")
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_format_chat, op7_pack, op8_exact_top_k, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_format_chat, op7_pack, op8_exact_top_k, op9_minhash_near_dedup, op10_token_counts)}
 
 
 OP1_SQL = r"""
@@ -111,5 +115,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+3], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id),
+both_ways AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM both_ways JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * i >= 80 * (p.n + q.n - i)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_format_chat": OP4_SQL, "op8_exact_top_k": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_format_chat": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
