@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import chat, editcount, media, mixing, neardup, packing, topk
+from termweave.llm import chat, editcount, media, mixing, neardup, packing, quality, secrets, topk
 from termweave.llm.common import read, text_of
 
 ODD_TURN = "\\### Assistant: </turn> ok"
@@ -18,6 +18,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.of_kinds(F.col("secret_spans"), 0, len(secrets.BASE) - 1)
+    counts = [F.size(secrets.of_kinds(F.col("secret_spans"), i, i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.described(base).cast("binary"), 256).alias("base_sha256"), secrets.described(F.col("secret_spans")).alias("spans"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.to_media(read(spark, sf_dir, "documents"), with_media=False)
 
@@ -28,6 +35,13 @@ def op4_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(odd)))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, read(spark, sf_dir, "labels"))
+    scored = quality.with_score(documents, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -49,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_media_columns, op4_format_chat, op7_pack, op8_exact_top_k, op9_minhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_media_columns, op4_format_chat, op5_quality, op7_pack, op8_exact_top_k, op9_minhash_near_dedup, op10_token_counts)}
 
 
 OP1_SQL = r"""
@@ -84,6 +98,31 @@ SELECT doc_id, source, size, source_size, target,
 FROM run
 """
 
+def _op2_sql() -> str:
+    """Positions are running sums of the lengths of the pieces between matches and of the matches."""
+    parts, kinds = [], []
+    for n, r in enumerate(secrets.RULES):
+        pattern = r.java.replace("'", "''")
+        kinds.append(f"'{r.kind}'")
+        parts.append(
+            f"SELECT doc_id, {n} AS kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS start, length(h[i]) AS size "
+            f"FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS h, regexp_extract_all(t, '{pattern}', {r.group}) AS g FROM texts)) WHERE length(g[i]) >= {r.least}"
+        )
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+named AS (SELECT doc_id, kind, start::BIGINT AS start, ([{", ".join(kinds)}])[kind + 1] || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM found),
+summed AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM named GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN summed USING (doc_id)
+"""
+
+
+OP2_SQL = _op2_sql()
+
 OP4_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -135,4 +174,4 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_format_chat": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_secret_scan": OP2_SQL, "op4_format_chat": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
