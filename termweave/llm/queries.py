@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import chat, editcount, media, mixing, neardup, packing, quality, secrets, topk
+from termweave.llm import chat, editcount, media, mixing, neardup, packing, pages, quality, secrets, topk
 from termweave.llm.common import read, text_of
 
 ODD_TURN = "\\### Assistant: </turn> ok"
@@ -42,6 +42,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -62,8 +66,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editcount.count_after_edits(read(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_media_columns, op4_format_chat, op5_quality, op7_pack, op8_exact_top_k, op9_minhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_media_columns, op4_format_chat, op5_quality, op6_extract_html, op7_pack, op8_exact_top_k, op9_minhash_near_dedup, op10_token_counts, pipeline)}
 
 
 OP1_SQL = r"""
