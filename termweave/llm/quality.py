@@ -15,6 +15,8 @@ from termweave.llm.common import text_of
 
 #: Hashed features, labelled rows of each class that are learned from at most, and texts whose words are remembered at once.
 DIMENSIONS, PER_CLASS, MEMORY = 2**18, 2500, 300_000
+#: With so many rows at most, calibration goes through all five folds.
+FEW = 1500
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -80,8 +82,8 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Hinge-loss linear model, L2-regularised: one dual variable in [0, cost] for each row is optimised at a time.
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 20, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Hinge-loss linear model, L2-regularised: one dual variable in [0, cost of the row] is optimised at a time.
 
     The bias is the weight of a constant feature. Ends early once the projected gradients' spread is small.
     """
@@ -92,7 +94,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
         spread = 0.0
         for i in rng.permutation(len(rows)):
             gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1
-            step = np.clip(alpha[i] - gradient / norm[i], 0, cost) - alpha[i]
+            step = np.clip(alpha[i] - gradient / norm[i], 0, cost[i]) - alpha[i]
             if step:
                 spread = max(spread, abs(step) * norm[i])
                 alpha[i] += step
@@ -118,20 +120,33 @@ def calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
+def _learned(rows: list[np.ndarray], y: np.ndarray) -> Model:
+    ratio = log_count_ratios(rows, y)
+    scaled = [ratio[r] / max(1, len(r)) ** 0.5 for r in rows]
+    w, bias = dual_coordinate_descent(rows, scaled, y, np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())))
+    return Model((w * ratio).astype(np.float32), float(bias), 1.0, 0.0)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Every fifth row is kept for the calibration. With one class only, scores are constant: the share of label 1, 0.5 without rows."""
+    """Calibrated on rows that a model didn't learn from: every fifth row, or all five fifths in turn where rows are few.
+
+    With one class only (or under five rows of one), scores are constant: the share of label 1, 0.5 without rows.
+    """
     y = np.where(np.asarray(labels) > 0, 1, -1)
-    learn = np.arange(len(y)) % 5 != 4
-    if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
+    if min((y > 0).sum(), (y < 0).sum()) < 5:
         share = np.clip(np.mean(y > 0), 0.001, 0.999) if len(y) else 0.5
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    used = [rows[i] for i in np.flatnonzero(learn)]
-    ratio = log_count_ratios(used, y[learn])
-    scaled = [ratio[r] / max(1, len(r)) ** 0.5 for r in used]
-    w, bias = dual_coordinate_descent(used, scaled, y[learn])
-    model = Model((w * ratio).astype(np.float32), float(bias), 1.0, 0.0)
-    margins = np.array([model.margin(rows[i]) for i in np.flatnonzero(~learn)])
-    model.slope, model.offset = calibrated(margins, y[~learn])
+    fold = np.zeros(len(y), int)
+    for k in (1, -1):
+        fold[y == k] = np.arange((y == k).sum()) % 5
+    margins = np.full(len(y), np.nan)
+    for held in range(5 if len(y) <= FEW else 1):
+        partial = _learned([rows[i] for i in np.flatnonzero(fold != held)], y[fold != held])
+        for i in np.flatnonzero(fold == held):
+            margins[i] = partial.margin(rows[i])
+    tried = ~np.isnan(margins)
+    model = _learned(rows, y)
+    model.slope, model.offset = calibrated(margins[tried], y[tried])
     return model
 
 
