@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from termweave.functions.text import prefix_of
 from termweave.sources.config import Options
+from termweave.sources.storage import located
 
 TERMS = "prefix string, curie string, label string"
 EDGES = "subject string, predicate string, object string"
@@ -26,7 +28,7 @@ class AdapterError(RuntimeError):
 def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Terms and edges of an OBO file; Spark reads it stanza by stanza. Comments after " ! " don't count."""
     stanza = F.regexp_replace("value", r"(?m)[ \t]+!.*$", "")
-    terms = spark.read.option("lineSep", "\n[").text(path).where(F.regexp_replace("value", r"^\[", "").startswith("Term]")).select(stanza.alias("s"))
+    terms = spark.read.option("lineSep", "\n[").text(located(path)).where(F.regexp_replace("value", r"^\[", "").startswith("Term]")).select(stanza.alias("s"))
     one = lambda tag: F.nullif(F.trim(F.regexp_extract("s", rf"(?m)^{tag}: *(.*)$", 1)), F.lit(""))
     every = lambda pattern, group: F.regexp_extract_all("s", F.lit(pattern), F.lit(group))
     labelled = terms.select(one("id").alias("curie"), one("name").alias("label")).where("curie is not null")
@@ -71,14 +73,14 @@ class _SqliteReader(DataSourceReader):
 
 def read_sqlite(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     spark.dataSource.register(SqliteOntology)
-    read = lambda table: spark.read.format("ontology_sqlite").option("path", path).option("table", table).load()
+    read = lambda table: spark.read.format("ontology_sqlite").option("path", os.path.abspath(path)).option("table", table).load()
     terms = read("terms")
     return terms.select(prefix_of(F.col("curie")).alias("prefix"), "curie", "label"), read("edges")
 
 
 def read_snapshot(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """A folder with terms and edges as Parquet or CSV, such as an earlier run or an export of a remote service left."""
-    read = (lambda t: spark.read.parquet(f"{path}/{t}.parquet")) if kind == "parquet" else (lambda t: spark.read.csv(f"{path}/{t}.csv", header=True))
+    read = (lambda t: spark.read.parquet(located(f"{path}/{t}.parquet"))) if kind == "parquet" else (lambda t: spark.read.csv(located(f"{path}/{t}.csv"), header=True))
     terms = read("terms")
     return terms.select(prefix_of(F.col("curie")).alias("prefix"), "curie", "label"), read("edges").select("subject", "predicate", "object")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def located(path: str) -> str:
+    """A path as Spark needs it: one that exists beside the driver's working folder is made absolute, others are left to Spark."""
+    return "file://" + os.path.abspath(path) if "://" not in path and os.path.exists(path) else path
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir or the context's checkpoint folder; one of our own only where neither is set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
