@@ -205,7 +205,7 @@ def decode(media: bytes) -> Track:
         if zlib.crc32(samples[first : first + rate]) != crc:
             raise OggError(f"the cue at sample {first} doesn't fit")
         cues.append((first / rate, crc))
-    times = [(e - len(p.data)) / rate for e, p in zip(ends, data)] + [ends[-1] / rate] * bool(ends)
+    times = [(e - len(p.data)) / rate for e, p in zip(ends, data)] + [e / rate for e in ends[-1:]]
     return Track(rate, samples, times, cues, len(data), sum(s.pages for s in streams.values()))
 
 

@@ -13,7 +13,8 @@ from termweave.llm.common import stored
 
 #: Queries and candidates that meet in one task at once, and bins of a histogram.
 QUERY_BLOCK, CANDIDATE_BLOCK, BINS = 1024, 2048, 128
-LIMIT = 2**62
+#: Scores beyond it are held at it.
+LIMIT = 2**61
 
 
 def _matrix(table: pa.Table, scale: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -28,7 +29,7 @@ def _matrix(table: pa.Table, scale: int) -> tuple[np.ndarray, np.ndarray, float]
 
 
 def scores(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
-    """Exact integer inner products. Beyond what doubles hold exactly, Python's integers are used and results held within +-2**62."""
+    """Exact integer inner products. Beyond what doubles hold exactly, Python's integers are used and results held within +-LIMIT."""
     d = min(a.shape[1], b.shape[1])
     a, b = a[:, :d], b[:, :d]
     if most < 2**53:
