@@ -24,13 +24,16 @@ class Index:
     (pigeonhole: radius < chunks * (errors + 1)). So each chunk is entered once for each way to leave `errors` of
     its symbols out, and equal entries find every pair within the radius. A symbol of two documents is equal with
     probability of their Jaccard similarity at least: at 0.8, 16 of 80 symbols differ on average, and no chunk
-    finds the pair with probability (1 - 0.8**5 - 5 * 0.2 * 0.8**4)**16 < 1e-9.
+    finds the pair with probability (1 - 0.8**5 - 5 * 0.2 * 0.8**4)**16 < 1e-9; over 36 symbols differ with
+    probability 1.1e-7.
     """
 
     chunks: int = 16
     width: int = 5
     errors: int = 1
     seed: int = 9
+    #: Symbols beyond the radius in which a pair that was looked up may differ and still be confirmed on whole sets.
+    slack: int = 5
 
     @property
     def symbols(self) -> int:
@@ -260,7 +263,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, index: Index =
     members = stored(entries.join(shared, "entry"))
     low_bytes = F.expr(f"concat({', '.join(f'substring(signature, {2 * i + 1}, 1)' for i in range(index.symbols))})")
     members = members.join(classes.select("node", low_bytes.alias("symbols")), "node")
-    close = _meetings(members, "entry", "symbols", 512, 2048, 8).mapInArrow(lambda b: _near(b, index.radius), "a long, b long")
+    close = _meetings(members, "entry", "symbols", 512, 2048, 8).mapInArrow(lambda b: _near(b, index.radius + index.slack), "a long, b long")
     groups = components(close)
 
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
