@@ -122,7 +122,7 @@ def _entries(batches, index: Index):
 
 
 class _Forest:
-    """Keeps the links that join what earlier ones left apart."""
+    """The groups that links make of the nodes of a task."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -133,12 +133,16 @@ class _Forest:
             up[x] = x = up[y]
         return x
 
-    def joins(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
         self.up[max(x, y)] = min(x, y)
-        return True
+
+    def stars(self):
+        """Links of each node to the least node of its tree: tasks that see the same group mostly name the same links."""
+        nodes = [x for x in self.up if self.root(x) != x]
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at : at + 50_000]
+            yield _batch({"a": pa.array([self.root(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
 
 
 def _groups(batches, by: int):
@@ -158,21 +162,19 @@ def _groups(batches, by: int):
 
 
 def _near(batches, radius: int):
-    """Links between nodes of a bucket whose signatures differ in at most radius symbols: of all such pairs, a forest."""
+    """Links between nodes of a bucket whose signatures differ in at most radius symbols: emitted as stars over the groups that they make."""
     forest = _Forest()
     for table, keys in _groups(batches, 3):
         nodes = table.column(3).to_numpy()
         bytes_ = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(len(nodes), -1)
         number = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
-        out = ([], [])
         for d in range(1, int(np.bincount(number).max())):
             at = np.flatnonzero(number[:-d] == number[d:])
             for part in np.array_split(at, max(1, len(at) // 50_000)):
                 close = part[np.count_nonzero(bytes_[part] != bytes_[part + d], axis=1) <= radius]
                 for x, y in zip(nodes[close].tolist(), nodes[close + d].tolist()):
-                    if forest.joins(x, y):
-                        out[0].append(x), out[1].append(y)
-        yield _batch({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+                    forest.join(x, y)
+    yield from forest.stars()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -199,11 +201,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirm(batches, percent: int):
-    """Links with percent * union <= 100 * intersection on the full sets: of all such pairs of a group, a forest."""
+    """Links with percent * union <= 100 * intersection on the full sets: emitted as stars over the groups that they make."""
     forest = _Forest()
     for table, keys in _groups(batches, 3):
         ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        nodes, out = table.column(3).to_pylist(), ([], [])
+        nodes = table.column(3).to_pylist()
         column = table.column(4)
         for first, last in zip(ends, ends[1:]):
             sets = [np.frombuffer(x.as_py(), "<u8") for x in column.slice(first, last - first)]
@@ -212,9 +214,8 @@ def _confirm(batches, percent: int):
             np.fill_diagonal(inter, 0)
             linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
             for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-                if forest.joins(nodes[first + i], nodes[first + j]):
-                    out[0].append(nodes[first + i]), out[1].append(nodes[first + j])
-        yield _batch({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+                forest.join(nodes[first + i], nodes[first + j])
+    yield from forest.stars()
 
 
 def _sets(batches, n: int):
@@ -246,8 +247,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, index: Index =
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of n-word shingles. Equal word
     sequences are one node. Signatures find candidates (see Index); whole sets, recomputed from whole texts,
-    decide. Within buckets and candidate groups only a spanning forest of the links is emitted, which leaves
-    components as they are; large ones are split into pairs of blocks.
+    decide. A task emits its links as stars, one link for each node beyond the first of a group, which leaves
+    components as they are; large buckets and candidate groups are split into pairs of blocks.
 
     Shingles and nodes are named by 64-bit hashes. Null and blank texts have no shingles and are linked with
     nothing, not even each other; texts shorter than n words are one shingle; repeated rows are linked; a null
