@@ -161,6 +161,16 @@ def _groups(batches, by: int):
         yield held, np.column_stack([held.column(i).to_numpy() for i in range(by)])
 
 
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of a[i] and b[i] for all i; every node's parent is the least node of its tree, before and after."""
+    while len(a):
+        differ = parent[a] != parent[b]
+        a, b = a[differ], b[differ]
+        np.minimum.at(parent, np.maximum(parent[a], parent[b]), np.minimum(parent[a], parent[b]))
+        while ((further := parent[parent]) != parent).any():
+            parent[:] = further
+
+
 def _near(batches, radius: int):
     """Links between nodes of a bucket whose signatures differ in at most radius symbols: emitted as stars over the groups that they make."""
     forest = _Forest()
@@ -168,12 +178,15 @@ def _near(batches, radius: int):
         nodes = table.column(3).to_numpy()
         bytes_ = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(len(nodes), -1)
         number = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
+        names, place = np.unique(nodes, return_inverse=True)
+        parent = np.arange(len(names))
         for d in range(1, int(np.bincount(number).max())):
-            at = np.flatnonzero(number[:-d] == number[d:])
+            at = np.flatnonzero((number[:-d] == number[d:]) & (parent[place[:-d]] != parent[place[d:]]))
             for part in np.array_split(at, max(1, len(at) // 50_000)):
                 close = part[np.count_nonzero(bytes_[part] != bytes_[part + d], axis=1) <= radius]
-                for x, y in zip(nodes[close].tolist(), nodes[close + d].tolist()):
-                    forest.join(x, y)
+                _unite(parent, place[close], place[close + d])
+        for x in np.flatnonzero(parent != np.arange(len(names))).tolist():
+            forest.join(int(names[x]), int(names[parent[x]]))
     yield from forest.stars()
 
 
@@ -213,8 +226,10 @@ def _confirm(batches, percent: int):
             inter = overlaps(sets)
             np.fill_diagonal(inter, 0)
             linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-            for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-                forest.join(nodes[first + i], nodes[first + j])
+            parent = np.arange(len(sets))
+            _unite(parent, *np.nonzero(np.triu(linked, 1)))
+            for x in np.flatnonzero(parent != np.arange(len(sets))).tolist():
+                forest.join(nodes[first + x], nodes[first + int(parent[x])])
     yield from forest.stars()
 
 
