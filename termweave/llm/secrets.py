@@ -63,9 +63,10 @@ def build_index(df: DataFrame, grams: list[str], text: str = "text") -> DataFram
     Shards are dealt by key and grow in number with the rows; equal texts have one posting.
     """
     shards = max(1, math.ceil(df.count() / SHARD))
-    low = F.lower(text_of(text))
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
-    rows = df.select(text_key(text_of(text)).alias("key"), F.explode(held).alias("gram"))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
+    # In a projection of its own, so that a text is lowered once and not for each trigram.
+    lowered = df.select(text_key(text_of(text)).alias("key"), F.lower(text_of(text)).alias("low"))
+    rows = lowered.select("key", F.explode(held).alias("gram"))
     return rows.groupBy(F.pmod("key", F.lit(shards)).alias("shard"), "gram").agg(F.collect_set("key").alias("keys"))
 
 
