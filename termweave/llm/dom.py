@@ -22,17 +22,20 @@ NEVER = frozenset("aside button canvas datalist footer form head iframe nav noem
 MAIN = frozenset(["article", "main"])
 #: Words of class, id or role that name something beside the article.
 BESIDE = frozenset("ad ads advert advertisement advertisements banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer menu menubar nav navbar navigation newsletter notice notices popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Names something beside the article as the whole of a class or id only.
+TOP = "top"
 OWN = frozenset("article body content entry main post story text".split())
 
 
-def _named(attributes: str) -> tuple[str, frozenset[str]]:
-    """What a tag's class, id and role add to its label, and their words."""
+def _named(attributes: str) -> tuple[str, frozenset[str], frozenset[str]]:
+    """What a tag's class, id and role add to its label, their words, and their whole values."""
     if "=" not in attributes:
-        return "", frozenset()
+        return "", frozenset(), frozenset()
     values = [(m[1].lower(), unescape(m[2] or m[3] or m[4] or "")) for m in _NAMED.finditer(attributes)]
     words = [w.lower() for _, v in values for w in _WORDS.findall(v)]
+    whole = {t.lower() for _, v in values for t in v.split()}
     kept = [w for w in words if not w.isdigit()]
-    return "." + ".".join(kept) if kept else "", frozenset(words)
+    return "." + ".".join(kept) if kept else "", frozenset(words), frozenset(whole)
 
 
 @dataclass
@@ -60,7 +63,7 @@ def read_page(html: str) -> Page:
     page = Page()
     structure, blocks = page.structure, page.blocks
     nodes: dict[tuple[int, str], int] = {}
-    known: dict[tuple[str, str], tuple[str, frozenset[str]]] = {}
+    known: dict[tuple[str, str], tuple[str, frozenset[str], frozenset[str]]] = {}
     # (tag, node, block's node, beside, main)
     stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
     pieces: list[str] = []
@@ -118,7 +121,7 @@ def read_page(html: str) -> Page:
             continue
         _, above, block, beside, main = stack[-1]
         attributes = m[3]
-        name, words = known.get((tag, attributes)) or known.setdefault((tag, attributes), _named(attributes))
+        name, words, whole = known.get((tag, attributes)) or known.setdefault((tag, attributes), _named(attributes))
         label = tag + name
         node = nodes.get((above, label))
         if node is None:
@@ -127,7 +130,7 @@ def read_page(html: str) -> Page:
         if tag in VOID:
             continue
         own = main or tag in MAIN or "main" in words and tag not in NEVER
-        aside = beside or tag in NEVER or bool(words & BESIDE) or (not main and (tag == "header" or "header" in words and not words & OWN))
+        aside = beside or tag in NEVER or bool(words & BESIDE) or TOP in whole or (not main and (tag == "header" or "header" in words and not words & OWN))
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             at = close.start() if close else end

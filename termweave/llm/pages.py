@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm.common import small, stored, text_of
-from termweave.llm.dom import BESIDE, MAIN, NEVER, merged, parse_structure, read_page, simple_tree_matching
+from termweave.llm.dom import merged, parse_structure, read_page, simple_tree_matching
 
 #: A text is part of a host's template if it stands in the same slot on this share of its pages, and on so many at least.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 5
-#: Share of a host's varying text that its content node holds, where no article or main element is named.
-CONTENT_SHARE = 0.8
 #: Structures of a host that one task merges at most, on average, before the merged ones are merged.
 MERGE = 2000
 
@@ -70,41 +68,17 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "structure", "slot", "node"])
 
 
-def _beside(label: str) -> bool:
-    tag, *words = label.split(".")
-    return tag in NEVER or bool(BESIDE & set(words))
-
-
-def content_node(tree: list[tuple[int, str]], chars: dict[int, int]) -> int:
-    """The deepest node whose subtree holds CONTENT_SHARE of the varying text; 0, the root, if articles or main elements say it themselves."""
-    if any(label.split(".")[0] in MAIN and not _beside(label) for _, label in tree):
-        return 0
-    total, below = sum(chars.values()), [chars.get(i, 0) for i in range(len(tree))]
-    depth = [0] * len(tree)
-    for i in range(1, len(tree)):
-        depth[i] = depth[tree[i][0]] + 1
-    for i in sorted(range(1, len(tree)), key=lambda i: -depth[i]):
-        below[tree[i][0]] += below[i]
-    # A slot that repeats (paragraphs, say) is not a region by itself: its parent is.
-    regions = [i for i in range(len(tree)) if below[i] >= CONTENT_SHARE * total and any(p == i for p, _ in tree[1:])]
-    return max(regions, key=lambda i: (depth[i], -i), default=0) if total else 0
-
-
 def _wrappers(batches):
     for batch in batches:
         out: tuple[list, list] = ([], [])
-        for host, tree, chars, constants in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            varying = Counter()
-            for c in chars or []:
-                varying[c["node"]] += c["chars"]
-            node = content_node(parse_structure(tree), varying)
+        for host, tree, constants in zip(*(batch.column(i).to_pylist() for i in range(3))):
             out[0].append(host)
-            out[1].append(json.dumps({"tree": tree, "content": node, "constants": sorted([c["node"], c["hash"]] for c in constants or [])}))
+            out[1].append(json.dumps({"tree": tree, "constants": sorted([c["node"], c["hash"]] for c in constants or [])}))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["host", "wrapper"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from pages (host, html): the merged tree, the content node and the constant texts of each slot.
+    """(host, wrapper) from pages (host, html): the merged tree and the constant texts of each slot.
 
     Structures are merged over their distinct values, in two steps, so no task sees all pages of a host; texts are
     counted as hashes by slot over all pages.
@@ -121,14 +95,11 @@ def induce(pages: DataFrame) -> DataFrame:
     often = (F.col("n") >= CONSTANT_PAGES) & (F.col("n") >= CONSTANT_SHARE * F.col("n_pages"))
     n_pages = salts.select("host", "n_pages")
     frequent = texts.groupBy("host", "hash").agg(F.sum("pages").alias("n")).where(F.col("n") >= CONSTANT_PAGES).join(n_pages, "host").where(often).select("host", "hash")
-    constants = texts.join(small(stored(frequent), 60), ["host", "hash"]).groupBy("host", "structure", "slot", "hash").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
-    constants = constants.join(slots, ["host", "structure", "slot"]).groupBy("host", "node", "hash").agg(F.sum("pages").alias("n"), F.sum("chars").alias("chars"))
+    constants = texts.join(small(stored(frequent), 60), ["host", "hash"]).groupBy("host", "structure", "slot", "hash").agg(F.sum("pages").alias("pages"))
+    constants = constants.join(slots, ["host", "structure", "slot"]).groupBy("host", "node", "hash").agg(F.sum("pages").alias("n"))
     constants = stored(constants.join(n_pages, "host").where(often))
-    mass = texts.groupBy("host", "structure", "slot").agg(F.sum("chars").alias("chars")).join(slots, ["host", "structure", "slot"]).select("host", "node", "chars")
-    mass = mass.unionByName(constants.select("host", "node", (-F.col("chars")).alias("chars"))).groupBy("host", "node").agg(F.sum("chars").alias("chars"))
-    chars = mass.groupBy("host").agg(F.collect_list(F.struct("node", "chars")).alias("chars"))
     fixed = constants.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constants"))
-    joined = trees.select("host", F.col("key").alias("tree")).join(chars, "host", "left").join(fixed, "host", "left").select("host", "tree", "chars", "constants")
+    joined = trees.select("host", F.col("key").alias("tree")).join(fixed, "host", "left").select("host", "tree", "constants")
     return stored(joined.mapInArrow(_wrappers, "host string, wrapper string"))
 
 
@@ -137,7 +108,7 @@ class _Reader:
 
     def __init__(self):
         self.wrappers: dict[str, tuple] = {}
-        self.alignments: dict[tuple[str, str], list[tuple[int, bool]]] = {}
+        self.alignments: dict[tuple[str, str], list[int]] = {}
 
     def text(self, html: str, wrapper: str) -> str:
         page = read_page(html)
@@ -145,23 +116,19 @@ class _Reader:
             if len(self.wrappers) > 500:
                 self.wrappers.clear()
             raw = json.loads(wrapper)
-            self.wrappers[wrapper] = parse_structure(raw["tree"]), raw["content"], {tuple(c) for c in raw["constants"]}
-        tree, content, constants = self.wrappers[wrapper]
+            self.wrappers[wrapper] = parse_structure(raw["tree"]), {tuple(c) for c in raw["constants"]}
+        tree, constants = self.wrappers[wrapper]
         known = (wrapper, page.key)
         if known not in self.alignments:
             if len(self.alignments) > 5000:
                 self.alignments.clear()
-            place, inside = simple_tree_matching(page.structure, tree), [content == 0] * len(page.structure)
-            for i, (parent, _) in enumerate(page.structure):
-                inside[i] = inside[parent] or place.get(i) == content
-            self.alignments[known] = [(place.get(i, -1), inside[i]) for i in range(len(inside))]
+            place = simple_tree_matching(page.structure, tree)
+            self.alignments[known] = [place.get(i, -1) for i in range(len(page.structure))]
         nodes = self.alignments[known]
         blocks = [b for b in page.blocks if not b[2]]
         if any(main for *_, main in blocks):
             blocks = [b for b in blocks if b[3]]
-        elif any(nodes[b[0]][1] for b in blocks):
-            blocks = [b for b in blocks if nodes[b[0]][1]]
-        varying = [b for b in blocks if not constants or (nodes[b[0]][0], text_hash(b[1])) not in constants]
+        varying = [b for b in blocks if not constants or (nodes[b[0]], text_hash(b[1])) not in constants]
         return " ".join(text for _, text, _, _ in (varying or blocks))
 
 
@@ -170,9 +137,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
 
     A wrapper is induced for each host from all of its pages. A page's text is what is left of its blocks, in
     order, after those beside the article (by tag or name: menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts, styles, comments), those outside of its article or main element, or, where there is none,
-    outside of the host's content node, and those that are the host's template: the same text in the same slot on
-    most of its pages. A page of nothing but template texts keeps them, as it can't be told from a page that
+    forms, scripts, styles, comments), those outside of its article or main element, where it has one, and those that
+    are the host's template: the same text in the same slot on most of its pages. A page of nothing but template texts keeps them, as it can't be told from a page that
     was copied all over the host.
 
     Null html is empty and has the text "". Null, relative or odd URLs share the host "". Repeated rows repeat;

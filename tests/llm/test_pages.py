@@ -57,6 +57,20 @@ def test_content_of_a_host_without_articles(spark):
     assert got == {i: f"story {i} begins here and goes on until {i} ends somewhere" for i in range(8)}
 
 
+def extracted(spark, bodies, host="h"):
+    rows = [(i, f"http://{host}.example/{i}", body) for i, body in enumerate(bodies)]
+    return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_titles_lists_and_links_beside_paragraphs_stay(spark):
+    def body(i):
+        return f"<body><div class=page><h1>Title {i}</h1><p class=lead>Lead {i}</p><div class=body><h2>Part {i}</h2><p>Long text {i} that goes on <a href=/>and on {i}</a> for quite some while, as paragraphs do</p><ul><li>point {i}</ul><table><tr><td>cell {i}</table><blockquote>quote {i}</blockquote></div></div><div class=low>Imprint</div></body>"
+
+    want = "Title {0} Lead {0} Part {0} Long text {0} that goes on and on {0} for quite some while, as paragraphs do point {0} cell {0} quote {0}"
+    assert extracted(spark, [body(i) for i in range(8)]) == {i: want.format(i) for i in range(8)}
+    assert extracted(spark, [body(3)]) == {0: want.format(3) + " Imprint"}
+
+
 def test_prepared_pages_match_their_articles(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r.page_id: r.html for r in df.collect()}
