@@ -38,16 +38,60 @@ def _named(attributes: str) -> tuple[str, frozenset[str], frozenset[str]]:
     return "." + ".".join(kept) if kept else "", frozenset(words), frozenset(whole)
 
 
+def mark(tag: str, words: frozenset[str], whole: frozenset[str], main: bool, article: bool) -> str:
+    """What an element says of its text: "#" beside the article by tag; "!" by a whole name, "~" by a word of one; "*" main; "" nothing.
+
+    main and article: whether it lies in a main element, and in an article. Of html, body and main elements names
+    don't count, but of articles within articles (comments are marked up so).
+    """
+    if tag in NEVER or tag == "header" and not main:
+        return "#"
+    if tag in ("html", "body"):
+        return ""
+    named = bool(words & BESIDE) or TOP in whole or not main and "header" in words and not words & OWN
+    if (tag in MAIN or "main" in words) and not (named and article):
+        return "*"
+    if named:
+        return "!" if whole & (BESIDE | {TOP, "header"}) and not words & OWN else "~"
+    return ""
+
+
+def standing(structure: list[tuple[int, str]]) -> tuple[list[tuple[int, ...] | None], list[bool]]:
+    """Of each node the nodes at and above it that are beside by name (None: it is beside by tag), and whether it lies in a main element.
+
+    What holds a main element isn't beside, unless the page has another main element that nothing beside holds.
+    """
+    names: list[tuple[int, ...] | None] = []
+    main: list[bool] = []
+    for i, (parent, label) in enumerate(structure):
+        above = names[parent] if i else ()
+        names.append(None if above is None or label[:1] == "#" else (*above, i) if label[:1] in ("!", "~") else above)
+        main.append(label[:1] == "*" or bool(i) and main[parent])
+    held = [names[i] for i, (_, label) in enumerate(structure) if label[:1] == "*" and names[i] is not None]
+    if all(held):
+        holders = {n for h in held for n in h}
+        names = [n and tuple(x for x in n if x not in holders) for n in names]
+    return names, main
+
+
+def paths(structure: list[tuple[int, str]]) -> list[str]:
+    """The labels from the root to each node."""
+    out = [""]
+    for parent, label in structure[1:]:
+        out.append(f"{out[parent]}/{label}")
+    return out
+
+
 @dataclass
 class Page:
     """structure: (parent, label) of each node, the root being its own parent; siblings of a label are one node.
 
-    blocks: (node, text, beside, main) in page order: the text's own block element, whether it lies in something
-    beside the article by tag or name, and whether in an article or main element.
+    A label begins with its element's mark, if it has one (see mark). blocks: (node, text) in page order, the node
+    being the text's own block or marked element.
     """
 
     structure: list[tuple[int, str]] = field(default_factory=lambda: [(0, "")])
-    blocks: list[tuple[int, str, bool, bool]] = field(default_factory=list)
+    blocks: list[tuple[int, str]] = field(default_factory=list)
 
     @property
     def key(self) -> str:
@@ -64,7 +108,7 @@ def read_page(html: str) -> Page:
     structure, blocks = page.structure, page.blocks
     nodes: dict[tuple[int, str], int] = {}
     known: dict[tuple[str, str], tuple[str, frozenset[str], frozenset[str]]] = {}
-    # (tag, node, block's node, beside, main)
+    # (tag, node, block's node, in a main element, in an article)
     stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
     pieces: list[str] = []
 
@@ -73,11 +117,10 @@ def read_page(html: str) -> Page:
             text = " ".join(unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                _, _, block, beside, main = stack[-1]
-                blocks.append((block, text, beside, main))
+                blocks.append((stack[-1][2], text))
 
     def pop_to(depth: int) -> None:
-        if any(e[0] in BLOCK or e[3] != stack[depth - 1][3] for e in stack[depth:]):
+        if any(e[1] == e[2] for e in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -119,28 +162,27 @@ def read_page(html: str) -> Page:
             if tag != "wbr":
                 pieces.append(" ")
             continue
-        _, above, block, beside, main = stack[-1]
+        _, above, block, main, article = stack[-1]
         attributes = m[3]
         name, words, whole = known.get((tag, attributes)) or known.setdefault((tag, attributes), _named(attributes))
-        label = tag + name
+        says = mark(tag, words, whole, main, article)
+        label = says + tag + name
         node = nodes.get((above, label))
         if node is None:
             node = nodes[above, label] = len(structure)
             structure.append((above, label))
         if tag in VOID:
             continue
-        own = main or tag in MAIN or "main" in words and tag not in NEVER
-        aside = beside or tag in NEVER or bool(words & BESIDE) or TOP in whole or (not main and (tag == "header" or "header" in words and not words & OWN))
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             at = close.start() if close else end
             if close:
                 at = html.find(">", close.start()) + 1 or end
             continue
-        if tag in BLOCK or aside != beside:
+        if tag in BLOCK or says:
             flush()
             block = node
-        stack.append((tag, node, block, aside, own))
+        stack.append((tag, node, block, main or says == "*", article or tag == "article"))
     flush()
     return page
 

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm.common import small, stored, text_of
-from termweave.llm.dom import merged, parse_structure, read_page, simple_tree_matching
+from termweave.llm.dom import merged, parse_structure, paths, read_page, simple_tree_matching, standing
 
 #: A text is part of a host's template if it stands in the same slot on this share of its pages, and on so many at least.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 5
+#: An element beside the article by name isn't if it holds more than this share of a host's varying text.
+NAMED_SHARE = 2 / 3
 #: Structures of a host that one task merges at most, on average, before the merged ones are merged.
 MERGE = 2000
 
@@ -40,7 +42,8 @@ def _observe(batches):
             structure = text_hash(key)
             keys[structure] = key
             found[host, structure, None, None, 0] += 1
-            for slot, text in {(b[0], b[1]) for b in page.blocks if not b[2]}:
+            names, _ = standing(page.structure)
+            for slot, text in {b for b in page.blocks if names[b[0]] is not None}:
                 found[host, structure, slot, text_hash(text), len(text)] += 1
         rows = [(h, s, keys[s] if slot is None else None, slot, t, n * chars, n) for (h, s, slot, t, chars), n in found.items()]
         types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -68,17 +71,35 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "structure", "slot", "node"])
 
 
+def overruled(tree: list[tuple[int, str]], chars: dict[int, int]) -> list[str]:
+    """Paths of the nodes beside by name that aren't beside, as they hold NAMED_SHARE of the varying text.
+
+    A whole name is overruled only if no varying text lies outside of named elements; any name beside a main element stands.
+    """
+    names, main = standing(tree)
+    below: Counter = Counter()
+    for node, n in chars.items():
+        for named in names[node] or ():
+            below[named] += n
+    total, free = sum(chars.values()), any(n > 0 and not names[node] for node, n in chars.items())
+    mains = [names[i] for i, (_, label) in enumerate(tree) if label[:1] == "*" and names[i] is not None]
+    holders = {n for m in mains for n in m}
+    where = paths(tree)
+    return sorted(where[i] for i, n in below.items() if n > NAMED_SHARE * total and not (free and tree[i][1][0] == "!") and (main[i] or i in holders or all(mains)))
+
+
 def _wrappers(batches):
     for batch in batches:
         out: tuple[list, list] = ([], [])
-        for host, tree, constants in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for host, tree, chars, constants in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            varying = Counter({c["node"]: c["chars"] for c in chars or []})
             out[0].append(host)
-            out[1].append(json.dumps({"tree": tree, "constants": sorted([c["node"], c["hash"]] for c in constants or [])}))
+            out[1].append(json.dumps({"tree": tree, "overruled": overruled(parse_structure(tree), varying), "constants": sorted([c["node"], c["hash"]] for c in constants or [])}))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["host", "wrapper"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from pages (host, html): the merged tree and the constant texts of each slot.
+    """(host, wrapper) from pages (host, html): the merged tree, the names overruled and the constant texts of each slot.
 
     Structures are merged over their distinct values, in two steps, so no task sees all pages of a host; texts are
     counted as hashes by slot over all pages.
@@ -95,11 +116,14 @@ def induce(pages: DataFrame) -> DataFrame:
     often = (F.col("n") >= CONSTANT_PAGES) & (F.col("n") >= CONSTANT_SHARE * F.col("n_pages"))
     n_pages = salts.select("host", "n_pages")
     frequent = texts.groupBy("host", "hash").agg(F.sum("pages").alias("n")).where(F.col("n") >= CONSTANT_PAGES).join(n_pages, "host").where(often).select("host", "hash")
-    constants = texts.join(small(stored(frequent), 60), ["host", "hash"]).groupBy("host", "structure", "slot", "hash").agg(F.sum("pages").alias("pages"))
-    constants = constants.join(slots, ["host", "structure", "slot"]).groupBy("host", "node", "hash").agg(F.sum("pages").alias("n"))
+    constants = texts.join(small(stored(frequent), 60), ["host", "hash"]).groupBy("host", "structure", "slot", "hash").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    constants = constants.join(slots, ["host", "structure", "slot"]).groupBy("host", "node", "hash").agg(F.sum("pages").alias("n"), F.sum("chars").alias("chars"))
     constants = stored(constants.join(n_pages, "host").where(often))
+    mass = texts.groupBy("host", "structure", "slot").agg(F.sum("chars").alias("chars")).join(slots, ["host", "structure", "slot"]).select("host", "node", "chars")
+    mass = mass.unionByName(constants.select("host", "node", (-F.col("chars")).alias("chars"))).groupBy("host", "node").agg(F.sum("chars").alias("chars"))
+    chars = mass.groupBy("host").agg(F.collect_list(F.struct("node", "chars")).alias("chars"))
     fixed = constants.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constants"))
-    joined = trees.select("host", F.col("key").alias("tree")).join(fixed, "host", "left").select("host", "tree", "constants")
+    joined = trees.select("host", F.col("key").alias("tree")).join(chars, "host", "left").join(fixed, "host", "left").select("host", "tree", "chars", "constants")
     return stored(joined.mapInArrow(_wrappers, "host string, wrapper string"))
 
 
@@ -108,7 +132,7 @@ class _Reader:
 
     def __init__(self):
         self.wrappers: dict[str, tuple] = {}
-        self.alignments: dict[tuple[str, str], list[int]] = {}
+        self.alignments: dict[tuple[str, str], list[tuple[int, int, bool]]] = {}
 
     def text(self, html: str, wrapper: str) -> str:
         page = read_page(html)
@@ -116,25 +140,38 @@ class _Reader:
             if len(self.wrappers) > 500:
                 self.wrappers.clear()
             raw = json.loads(wrapper)
-            self.wrappers[wrapper] = parse_structure(raw["tree"]), {tuple(c) for c in raw["constants"]}
-        tree, constants = self.wrappers[wrapper]
+            self.wrappers[wrapper] = parse_structure(raw["tree"]), set(raw["overruled"]), {tuple(c) for c in raw["constants"]}
+        tree, overrules, constants = self.wrappers[wrapper]
         known = (wrapper, page.key)
         if known not in self.alignments:
             if len(self.alignments) > 5000:
                 self.alignments.clear()
-            place = simple_tree_matching(page.structure, tree)
-            self.alignments[known] = [place.get(i, -1) for i in range(len(page.structure))]
+            place, where = simple_tree_matching(page.structure, tree), paths(page.structure)
+            # Of each node: its place in the tree; 0 if it counts, 1 if a word of a name puts it beside, 2 if more does; in a main element.
+            nodes = []
+            for i, (names, main) in enumerate(zip(*standing(page.structure))):
+                stand = None if names is None else [page.structure[n][1][0] for n in names if where[n] not in overrules]
+                nodes.append((place.get(i, -1), 2 if stand is None or "!" in stand else int(bool(stand)), main))
+            self.alignments[known] = nodes
         nodes = self.alignments[known]
-        blocks = [b for b in page.blocks if not b[2]]
-        if any(main for *_, main in blocks):
-            blocks = [b for b in blocks if b[3]]
-        varying = [b for b in blocks if not constants or (nodes[b[0]], text_hash(b[1])) not in constants]
-        return " ".join(text for _, text, _, _ in (varying or blocks))
+
+        def varying(blocks):
+            return [b for b in blocks if not constants or (nodes[b[0]][0], text_hash(b[1])) not in constants]
+
+        blocks = [b for b in page.blocks if nodes[b[0]][1] == 0]
+        if any(nodes[b[0]][2] for b in blocks):
+            blocks = [b for b in blocks if nodes[b[0]][2]]
+        if not blocks:
+            blocks = varying(b for b in page.blocks if nodes[b[0]][1] == 1)
+        return " ".join(text for _, text in (varying(blocks) or blocks))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) of the main text of every page.
 
+    Words of a name don't put html, body, a main element or what holds it beside the article, nor an element that
+    holds most of the host's varying text (see dom.mark, dom.standing and overruled), nor the only text of a page.
+
     A wrapper is induced for each host from all of its pages. A page's text is what is left of its blocks, in
     order, after those beside the article (by tag or name: menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles, comments), those outside of its article or main element, where it has one, and those that

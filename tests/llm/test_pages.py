@@ -71,6 +71,20 @@ def test_titles_lists_and_links_beside_paragraphs_stay(spark):
     assert extracted(spark, [body(3)]) == {0: want.format(3) + " Imprint"}
 
 
+def test_names_of_page_containers_dont_drop_pages(spark):
+    article = "<article class='post social'><h1>Title {0}</h1><p>text {0}</p><div class=comments>no {0}</div><article class=comment>no</article></article><div class='comment-list'><p>a much longer comment {0} than the text</p></div>"
+    for body in (
+        "<body class='right-sidebar'><h1>Title {0}</h1><p>text {0}</p>",
+        "<body class='cookie-notice nav-open'><main class=widget><h1>Title {0}</h1><p>text {0}</p></main>",
+        "<body><div id=content class='has-comments'><h1>Title {0}</h1><p>text {0}</p><div class=ad>no {0}</div></div>",
+        f"<body><div class='with-sidebar'>{article}</div>",
+        article,
+    ):
+        want = {i: f"Title {i} text {i}" for i in range(6)}
+        assert extracted(spark, [body.format(i) for i in range(6)]) == want
+        assert extracted(spark, [body.format(0)]) == {0: want[0]}
+
+
 def test_prepared_pages_match_their_articles(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r.page_id: r.html for r in df.collect()}
