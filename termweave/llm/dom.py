@@ -43,13 +43,14 @@ def mark(tag: str, words: frozenset[str], whole: frozenset[str], main: bool, art
 
     main and article: whether it lies in a main element, and in an article. Of html, body and main elements names
     don't count, but of articles within articles (comments are marked up so).
+    Main elements are article, main, and those whose role, id or class is main as a whole.
     """
     if tag in NEVER or tag == "header" and not main:
         return "#"
     if tag in ("html", "body"):
         return ""
     named = bool(words & BESIDE) or TOP in whole or not main and "header" in words and not words & OWN
-    if (tag in MAIN or "main" in words) and not (named and article):
+    if (tag in MAIN or "main" in whole and not (named and whole & BESIDE)) and not (named and article):
         return "*"
     if named:
         return "!" if whole & (BESIDE | {TOP, "header"}) and not words & OWN else "~"

@@ -17,6 +17,8 @@ from termweave.llm.dom import merged, parse_structure, paths, read_page, simple_
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 5
 #: An element beside the article by name isn't if it holds more than this share of a host's varying text.
 NAMED_SHARE = 2 / 3
+#: A page's main elements are all of it if they hold this share of its varying text at least.
+MAIN_SHARE = 0.5
 #: Structures of a host that one task merges at most, on average, before the merged ones are merged.
 MERGE = 2000
 
@@ -158,12 +160,19 @@ class _Reader:
         def varying(blocks):
             return [b for b in blocks if not constants or (nodes[b[0]][0], text_hash(b[1])) not in constants]
 
+        def chars(blocks):
+            return sum(len(text) for _, text in blocks)
+
         blocks = [b for b in page.blocks if nodes[b[0]][1] == 0]
-        if any(nodes[b[0]][2] for b in blocks):
-            blocks = [b for b in blocks if nodes[b[0]][2]]
+        own = varying(blocks)
+        main = [b for b in own if nodes[b[0]][2]]
         if not blocks:
-            blocks = varying(b for b in page.blocks if nodes[b[0]][1] == 1)
-        return " ".join(text for _, text in (varying(blocks) or blocks))
+            own = varying(b for b in page.blocks if nodes[b[0]][1] == 1)
+        elif not own:
+            own = [b for b in blocks if nodes[b[0]][2]] or blocks
+        elif main and chars(main) >= MAIN_SHARE * chars(own):
+            own = main
+        return " ".join(text for _, text in own)
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -174,8 +183,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
 
     A wrapper is induced for each host from all of its pages. A page's text is what is left of its blocks, in
     order, after those beside the article (by tag or name: menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts, styles, comments), those outside of its article or main element, where it has one, and those that
-    are the host's template: the same text in the same slot on most of its pages. A page of nothing but template texts keeps them, as it can't be told from a page that
+    forms, scripts, styles, comments), those outside of its article or main elements, where these hold half of what
+    varies, and those that are the host's template: the same text in the same slot on most of its pages. A page of nothing but template texts keeps them, as it can't be told from a page that
     was copied all over the host.
 
     Null html is empty and has the text "". Null, relative or odd URLs share the host "". Repeated rows repeat;

@@ -85,6 +85,15 @@ def test_names_of_page_containers_dont_drop_pages(spark):
         assert extracted(spark, [body.format(0)]) == {0: want[0]}
 
 
+def test_only_main_elements_that_hold_the_text_are_the_page(spark):
+    title = "<body><h1 class='main-title'>Title {0}</h1><div class=content><p>text {0} goes on</p></div>"
+    inside = "<body><div id=main><h1>Title {0}</h1></div><div class=content><p>text {0} goes on and on</p></div>"
+    around = "<body><div class='main'><h1>Title {0}</h1><p>text {0} goes on</p></div><div>see {0}</div>"
+    assert extracted(spark, [title.format(i) for i in range(6)]) == {i: f"Title {i} text {i} goes on" for i in range(6)}
+    assert extracted(spark, [inside.format(i) for i in range(6)]) == {i: f"Title {i} text {i} goes on and on" for i in range(6)}
+    assert extracted(spark, [around.format(i) for i in range(6)]) == {i: f"Title {i} text {i} goes on" for i in range(6)}
+
+
 def test_prepared_pages_match_their_articles(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r.page_id: r.html for r in df.collect()}
