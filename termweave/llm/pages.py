@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from termweave.llm.common import small, stored, text_of
 from termweave.llm.dom import merged, parse_structure, paths, read_page, simple_tree_matching, standing
 
-#: A text is part of a host's template if it stands in the same slot on this share of its pages, and on so many at least.
+#: A text is part of a host's template if it stands at the same place of a slot on this share of its distinct pages, and on so many at least.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 5
 #: An element beside the article by name isn't if it holds more than this share of a host's varying text.
 NAMED_SHARE = 2 / 3
@@ -33,8 +33,16 @@ def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
+SEEN = "host string, structure long, key string, slot long, hash long, page long, main boolean, first long, last long, chars long, own long, pages long"
+_SEEN = pa.schema([("host", pa.string()), ("structure", pa.int64()), ("key", pa.string()), *((c, pa.bool_() if c == "main" else pa.int64()) for c in "slot hash page main first last chars own pages".split())])
+
+
 def _observe(batches):
-    """For each page its structure, and each distinct text of each slot: (host, structure, key, slot, hash, chars, pages); hash is null for the page itself."""
+    """For each page its structure (slot null), and each distinct text of each slot with its places in the slot from both ends.
+
+    page is a hash of what the page says besides named elements: equal for copies. own is the length of the distinct
+    texts of its main elements.
+    """
     for batch in batches:
         found: Counter = Counter()
         keys: dict[int, str] = {}
@@ -43,13 +51,22 @@ def _observe(batches):
             key = page.key
             structure = text_hash(key)
             keys[structure] = key
-            found[host, structure, None, None, 0] += 1
-            names, _ = standing(page.structure)
-            for slot, text in {b for b in page.blocks if names[b[0]] is not None}:
-                found[host, structure, slot, text_hash(text), len(text)] += 1
-        rows = [(h, s, keys[s] if slot is None else None, slot, t, n * chars, n) for (h, s, slot, t, chars), n in found.items()]
-        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=["host", "structure", "key", "slot", "hash", "chars", "pages"])
+            names, main = standing(page.structure)
+            blocks = [b for b in page.blocks if names[b[0]] is not None]
+            copy = text_hash("\n".join([t for slot, t in blocks if not names[slot]] or [t for _, t in blocks]))
+            size, first, last = Counter(slot for slot, _ in blocks), {}, {}
+            at: Counter = Counter()
+            for block in blocks:
+                first.setdefault(block, at[block[0]])
+                at[block[0]] += 1
+                last[block] = size[block[0]] - at[block[0]]
+            inside = {b for b in first if main[b[0]] and not names[b[0]]}
+            own = sum(len(text) for _, text in inside)
+            found[host, structure, None, None, copy, None, None, None, 0, own] += 1
+            for block, n in first.items():
+                found[host, structure, block[0], text_hash(block[1]), copy, block in inside, n, last[block], len(block[1]), own] += 1
+        rows = [(h, s, keys[s] if slot is None else None, slot, *rest, n) for (h, s, slot, *rest), n in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(_SEEN), _SEEN.types)], schema=_SEEN)
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -104,11 +121,12 @@ def induce(pages: DataFrame) -> DataFrame:
     """(host, wrapper) from pages (host, html): the merged tree, the names overruled and the constant texts of each slot.
 
     Structures are merged over their distinct values, in two steps, so no task sees all pages of a host; texts are
-    counted as hashes by slot over all pages.
+    counted as hashes by slot over all pages, copies once. What the main elements of pages share is template only if it
+    is on the pages that share half of their main elements' text at most: pages that share more are near copies.
     """
-    seen = stored(pages.mapInArrow(_observe, "host string, structure long, key string, slot long, hash long, chars long, pages long"))
+    seen = stored(pages.mapInArrow(_observe, SEEN))
     structures = stored(seen.where("key is not null").groupBy("host", "structure", "key").agg(F.sum("pages").alias("pages")))
-    salts = structures.groupBy("host").agg(F.ceil(F.count("*") / MERGE).alias("salts"), F.sum("pages").alias("n_pages"))
+    salts = structures.groupBy("host").agg(F.ceil(F.count("*") / MERGE).alias("salts"))
     parts = structures.join(salts, "host").withColumn("salt", F.pmod("structure", F.col("salts")))
     merged_once = parts.groupBy("host", "salt").applyInArrow(lambda t: _merge(t), "host string, key string, pages long")
     trees = stored(merged_once.groupBy("host").applyInArrow(_merge, "host string, key string, pages long"))
@@ -116,12 +134,24 @@ def induce(pages: DataFrame) -> DataFrame:
 
     texts = seen.where("hash is not null")
     often = (F.col("n") >= CONSTANT_PAGES) & (F.col("n") >= CONSTANT_SHARE * F.col("n_pages"))
-    n_pages = salts.select("host", "n_pages")
-    frequent = texts.groupBy("host", "hash").agg(F.sum("pages").alias("n")).where(F.col("n") >= CONSTANT_PAGES).join(n_pages, "host").where(often).select("host", "hash")
-    constants = texts.join(small(stored(frequent), 60), ["host", "hash"]).groupBy("host", "structure", "slot", "hash").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
-    constants = constants.join(slots, ["host", "structure", "slot"]).groupBy("host", "node", "hash").agg(F.sum("pages").alias("n"), F.sum("chars").alias("chars"))
-    constants = stored(constants.join(n_pages, "host").where(often))
-    mass = texts.groupBy("host", "structure", "slot").agg(F.sum("chars").alias("chars")).join(slots, ["host", "structure", "slot"]).select("host", "node", "chars")
+    place = ["host", "node", "hash"]
+
+    def placed(at: DataFrame, n_pages: DataFrame) -> DataFrame:
+        """The texts that are at one place of their slot, from its start or its end, on enough pages."""
+        ends = [at.groupBy(*place, F.col(end).alias("end")).agg(F.count("*").alias("n")) for end in ("first", "last")]
+        return ends[0].unionByName(ends[1]).groupBy(*place).agg(F.max("n").alias("n")).join(n_pages, "host").where(often).select(*place)
+
+    n_pages = stored(seen.where("key is not null").groupBy("host").agg(F.countDistinct("page").alias("n_pages")))
+    frequent = texts.groupBy("host", "hash").agg(F.sum("pages").alias("n")).where(F.col("n") >= CONSTANT_PAGES).join(n_pages, "host").where(often & (F.col("n_pages") >= CONSTANT_PAGES)).select("host", "hash")
+    at = texts.join(small(stored(frequent), 60), ["host", "hash"]).join(slots, ["host", "structure", "slot"]).groupBy(*place, "page").agg(F.max("main").alias("main"), F.min("first").alias("first"), F.min("last").alias("last"), F.max("chars").alias("chars"), F.max("own").alias("own"), F.sum(F.col("chars") * F.col("pages")).alias("mass"))
+    at = stored(at)
+    at = stored(at.join(placed(at, n_pages), place))
+    near = stored(at.where("main").groupBy("host", "page").agg(F.sum("chars").alias("shared"), F.max("own").alias("own")).where(F.col("shared") * 2 > F.col("own")).select("host", "page"))
+    n_others = n_pages.join(near.groupBy("host").agg(F.count("*").alias("near")), "host", "left").select("host", (F.col("n_pages") - F.coalesce("near", F.lit(0))).alias("n_pages"))
+    inside = placed(at.where("main").join(near, ["host", "page"], "left_anti"), n_others)
+    sums = at.groupBy(*place).agg(F.max("main").alias("main"), F.sum("mass").alias("chars"))
+    constants = stored(sums.join(inside.withColumn("shared", F.lit(True)), place, "left").where(~F.col("main") | F.col("shared")).select(*place, "chars"))
+    mass = texts.groupBy("host", "structure", "slot").agg(F.sum(F.col("chars") * F.col("pages")).alias("chars")).join(slots, ["host", "structure", "slot"]).select("host", "node", "chars")
     mass = mass.unionByName(constants.select("host", "node", (-F.col("chars")).alias("chars"))).groupBy("host", "node").agg(F.sum("chars").alias("chars"))
     chars = mass.groupBy("host").agg(F.collect_list(F.struct("node", "chars")).alias("chars"))
     fixed = constants.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constants"))
@@ -184,7 +214,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     A wrapper is induced for each host from all of its pages. A page's text is what is left of its blocks, in
     order, after those beside the article (by tag or name: menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles, comments), those outside of its article or main elements, where these hold half of what
-    varies, and those that are the host's template: the same text in the same slot on most of its pages. A page of nothing but template texts keeps them, as it can't be told from a page that
+    varies, and those that are the host's template: the same text at the same place of a slot on most of its pages,
+    copies and, in main elements, near copies aside. A page of nothing but template texts keeps them, as it can't be told from a page that
     was copied all over the host.
 
     Null html is empty and has the text "". Null, relative or odd URLs share the host "". Repeated rows repeat;

@@ -94,6 +94,20 @@ def test_only_main_elements_that_hold_the_text_are_the_page(spark):
     assert extracted(spark, [around.format(i) for i in range(6)]) == {i: f"Title {i} text {i} goes on" for i in range(6)}
 
 
+def test_near_copies_and_passages_of_articles_stay(spark):
+    shared = [f"paragraph {k} of a text that is on many pages of this host" for k in range(6)]
+    near = [[*shared[:2], f"edited {i}", *shared[3:]] for i in range(8)]
+    others = [[f"own text {i} {k} that is nowhere else" for k in range(5)] for i in range(4)]
+    # One passage at another place of each page.
+    passing = [[f"own {i} {k} and more" for k in range(i)] + ["A passage."] + [f"own {i} {k} and more" for k in range(i, 9)] for i in range(9)]
+    for texts in (near + others, near, passing, 3 * near[:2] + others):
+        bodies = [page("".join(f"<p>{t}</p>" for t in ts)) for ts in texts]
+        assert extracted(spark, bodies) == {i: " ".join(ts) for i, ts in enumerate(texts)}
+    # Of copies without main elements only one counts; what is on the other pages too is template.
+    plain = ["<body><div class=low>Imprint</div>" + "".join(f"<p>{t}</p>" for t in ts) for ts in 9 * near[:1] + others]
+    assert extracted(spark, plain) == {i: " ".join(ts) for i, ts in enumerate(9 * near[:1] + others)}
+
+
 def test_prepared_pages_match_their_articles(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r.page_id: r.html for r in df.collect()}
