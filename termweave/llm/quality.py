@@ -105,15 +105,15 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w, bias
 
 
-def calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve over margins, by Newton's method on softened targets."""
+def calibrated(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve over weighted margins, by Newton's method on softened targets."""
     n1, n0 = int((y > 0).sum()), int((y < 0).sum())
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x, p = np.column_stack([margins, np.ones(len(margins))]), np.array([1.0, 0.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ p, -50, 50)))
-        h = x.T @ (x * (q * (1 - q))[:, None]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (q - target))
+        h = x.T @ (x * (weight * q * (1 - q))[:, None]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (q - target)))
         p = p - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -127,14 +127,17 @@ def _learned(rows: list[np.ndarray], y: np.ndarray) -> Model:
     return Model((w * ratio).astype(np.float32), float(bias), 1.0, 0.0)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Calibrated on rows that a model didn't learn from: every fifth row, or all five fifths in turn where rows are few.
 
+    weights says how many labelled rows one row of class 0, of class 1 stands for: scores are calibrated to the shares of these.
+
     With one class only (or under five rows of one), scores are constant: the share of label 1, 0.5 without rows.
     """
     y = np.where(np.asarray(labels) > 0, 1, -1)
+    weight = np.where(y > 0, weights[1], weights[0])
     if min((y > 0).sum(), (y < 0).sum()) < 5:
-        share = np.clip(np.mean(y > 0), 0.001, 0.999) if len(y) else 0.5
+        share = np.clip(np.average(y > 0, weights=weight), 0.001, 0.999) if len(y) else 0.5
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     fold = np.zeros(len(y), int)
     for k in (1, -1):
@@ -146,7 +149,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
             margins[i] = partial.margin(rows[i])
     tried = ~np.isnan(margins)
     model = _learned(rows, y)
-    model.slope, model.offset = calibrated(margins[tried], y[tried])
+    model.slope, model.offset = calibrated(margins[tried], y[tried], weight[tried])
     return model
 
 
@@ -157,6 +160,7 @@ def held_out(key: str = "doc_id") -> Column:
 def train(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from at most per_class labelled rows of each class, those of least md5(key), none of them held out.
 
+    Scores are calibrated to the classes' shares in all labels that could be learned from, so they don't depend on per_class.
     Null keys and labels other than 0 and 1 don't count; a key labelled both ways doesn't either. A key's
     texts are all learned from if it repeats (at most two).
     """
@@ -165,6 +169,9 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     sample = [r for k in (0, 1) for r in known.where(F.col("label") == k).orderBy(order).limit(per_class).select("key", "label").collect()]
     if not sample:
         return fit([], np.zeros(0))
+    taken = [sum(r["label"] == k for r in sample) for k in (0, 1)]
+    there = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = tuple(there[k] / taken[k] if taken[k] else 1.0 for k in (0, 1))
     spark = df.sparkSession
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in sample], "key long, label int"))
     texts = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).join(chosen, "key")
@@ -179,7 +186,7 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     seen: dict[int, int] = {}
     got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["key"])), r["features"]))
     got = [r for r in got if seen.setdefault(r["key"], 0) < 2 and not seen.update({r["key"]: seen[r["key"]] + 1})]
-    return fit([np.frombuffer(r["features"], np.int32) for r in got], np.array([r["label"] for r in got]))
+    return fit([np.frombuffer(r["features"], np.int32) for r in got], np.array([r["label"] for r in got]), weights)
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

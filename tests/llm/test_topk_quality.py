@@ -73,6 +73,16 @@ def test_without_labels_scores_are_constant(spark):
     assert {r.score for r in quality.with_score(df, quality.train(df, none)).collect()} == {0.5}
 
 
+def test_scores_keep_the_labels_shares_beyond_the_cap(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 2 for _ in range(6))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(700)], "doc_id long, quality int")
+    for per_class in (40, 2500):
+        scores = [r.score for r in quality.with_score(df, quality.train(df, labels, per_class=per_class)).collect()]
+        assert abs(np.mean(scores) - 6 / 7) < 0.08
+
+
 def test_solver_finds_the_margin():
     rows, y = [np.array([0]), np.array([1])], np.array([1, -1])
     w, bias = quality.dual_coordinate_descent(rows, [np.array([1.0]), np.array([1.0])], y, np.array([10.0, 10.0]), rounds=500)
