@@ -15,8 +15,6 @@ from termweave.llm.common import text_of
 
 #: Hashed features, labelled rows of each class that are learned from at most, and texts whose words are remembered at once.
 DIMENSIONS, PER_CLASS, MEMORY = 2**18, 2500, 300_000
-#: With so many rows at most, calibration goes through all five folds.
-FEW = 1500
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -24,7 +22,7 @@ _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 def shape(word: str) -> str:
     """Letters as x (X if capital), digits as 9, others as they are; what repeats is written at most twice."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = ("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c
         if out[-2:] != [k, k]:
             out.append(k)
@@ -128,7 +126,7 @@ def _learned(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Calibrated on rows that a model didn't learn from: every fifth row, or all five fifths in turn where rows are few.
+    """Calibrated on rows that a model didn't learn from: all five fifths in turn.
 
     weights says how many labelled rows one row of class 0, of class 1 stands for: scores are calibrated to the shares of these.
 
@@ -142,14 +140,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: tuple[float, float]
     fold = np.zeros(len(y), int)
     for k in (1, -1):
         fold[y == k] = np.arange((y == k).sum()) % 5
-    margins = np.full(len(y), np.nan)
-    for held in range(5 if len(y) <= FEW else 1):
+    margins = np.zeros(len(y))
+    for held in range(5):
         partial = _learned([rows[i] for i in np.flatnonzero(fold != held)], y[fold != held])
         for i in np.flatnonzero(fold == held):
             margins[i] = partial.margin(rows[i])
-    tried = ~np.isnan(margins)
     model = _learned(rows, y)
-    model.slope, model.offset = calibrated(margins[tried], y[tried], weight[tried])
+    model.slope, model.offset = calibrated(margins, y, weight)
     return model
 
 

@@ -83,6 +83,16 @@ def test_scores_keep_the_labels_shares_beyond_the_cap(spark):
         assert abs(np.mean(scores) - 6 / 7) < 0.08
 
 
+def test_every_row_calibrates_and_whole_words_have_shapes(monkeypatch):
+    learned, real, tried = [], quality._learned, []
+    monkeypatch.setattr(quality, "_learned", lambda rows, y: learned.append(len(y)) or real(rows, y))
+    calibrated = quality.calibrated
+    monkeypatch.setattr(quality, "calibrated", lambda margins, *more: tried.append(len(margins)) or calibrated(margins, *more))
+    quality.fit([np.array([i % 2, 2 + i % 5], np.int32) for i in range(1600)], np.arange(1600) % 2)
+    assert learned == [1280] * 5 + [1600] and tried == [1600]
+    assert quality.shape("a" * 70 + "9-B") == "xx9-X"
+
+
 def test_solver_finds_the_margin():
     rows, y = [np.array([0]), np.array([1])], np.array([1, -1])
     w, bias = quality.dual_coordinate_descent(rows, [np.array([1.0]), np.array([1.0])], y, np.array([10.0, 10.0]), rounds=500)
