@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it was counted and has at most so many rows and bytes.
+#: A side of a join is broadcast only if it was measured and has at most so many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -45,13 +45,19 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A stored() table with a broadcast hint if a count shows that it is small, else without: Spark then shuffles both sides.
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored() table has at most so many bytes (as text, and 8 for each value) and BROADCAST_ROWS rows, as measured."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        text = F.col(f.name) if f.dataType.simpleString() in ("string", "binary") else F.col(f.name).cast("string")
+        width = width + F.coalesce(F.octet_length(text), F.lit(0)) + 8
+    n, size = df.agg(F.count("*"), F.sum(width)).head()
+    return n <= BROADCAST_ROWS and (size or 0) <= limit
 
-    row_bytes is an upper bound of one row's size; callers pass tables whose rows have such a bound.
-    """
-    limit = min(BROADCAST_ROWS, BROADCAST_BYTES // max(1, row_bytes))
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored() table with a broadcast hint if it is measured to be small (see fits), else without: Spark then shuffles both sides."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def text_of(col: str = "text") -> Column:

@@ -67,7 +67,7 @@ def _descend(rows: DataFrame, plan: DataFrame, level: int) -> tuple[DataFrame, D
         .groupBy("source_key").agg(F.min(F.struct("digit", (F.col("need") - F.col("upto") + F.col("words")).alias("need"))).alias("x"))
         .select("source_key", F.col("x.digit").alias("at"), F.col("x.need").alias("need"))
     )
-    cut = small(stored(cut), 200)
+    cut = small(stored(cut))
     return rows.join(cut.select("source_key", F.col("at").alias("digit")), ["source_key", "digit"]).drop("digit"), cut.select("source_key", "need")
 
 
@@ -104,7 +104,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1
         .groupBy("source_key").agg(F.min(F.struct("place", F.floor((F.col("need") - F.col("upto") + F.col("words")) / F.col("n")).cast("long").alias("part"))).alias("x"))
         .select("source_key", F.col("x.place").alias("cut"), F.col("x.part").alias("part"))
     )
-    plan = small(stored(plan.join(cut, "source_key", "left")), 300)
+    plan = small(stored(plan.join(cut, "source_key", "left")))
     partial = F.when(F.col("place") < F.col("cut"), F.col("size")).when(F.col("place") == F.col("cut"), F.least("part", "size")).otherwise(0)
     out = base.drop("source").join(plan, "source_key").withColumn("taken", (F.col("epochs") * F.col("size") + partial).cast("long"))
     return out.select(*(F.col("row")[c].alias(c) for c in kept), *(F.col(c).alias(name) for name, c in added.items()))

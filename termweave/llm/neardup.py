@@ -284,7 +284,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, index: Index =
 
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
     wanted = stored(groups.join(sizes, "label").join(classes.select("node", "first"), "node"))
-    ids = small(stored(wanted.groupBy("first").agg(F.count("*").alias("n")).select(F.col("first").alias("wanted_id"))), 24)
+    ids = small(stored(wanted.groupBy("first").agg(F.count("*").alias("n")).select(F.col("first").alias("wanted_id"))))
     whole = texts.join(ids, texts.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(lambda b: _sets(b, n), "node long, shingles binary")
     whole = stored(whole.groupBy("node").agg(F.min("shingles").alias("shingles")).join(wanted.select("node", "label", "n"), "node"))
     links = _meetings(whole, "label", "shingles", 128, 2048, 16).mapInArrow(lambda b: _confirm(b, percent), "a long, b long")

@@ -125,7 +125,7 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
     rows = df.select(row, body.alias("body"))
     if indexed:
         hits = stored(candidates(build_index(df, grams, text), tuple(r for _, r in indexed)))
-        rows = rows.withColumn("key", text_key(F.col("body"))).join(small(hits, 64), "key", "left")
+        rows = rows.withColumn("key", text_key(F.col("body"))).join(small(hits), "key", "left")
         nothing = F.array().cast(f"array<{SPAN}>")
         found += [F.when(F.array_contains("rules", i), spans_of(F.col("body"), r, n)).otherwise(nothing) for i, (n, r) in enumerate(indexed)]
     return rows.withColumn("spans", F.sort_array(F.concat(*found))).select("row.*", F.col("spans").alias("secret_spans"))
