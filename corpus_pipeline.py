@@ -24,10 +24,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id and a text stay once. Documents without an id stay.
     """
     classes = stored(neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")))
-    gone = small(stored(classes.where("not kept and n = 1").select("doc_id")), 16)
-    repeated = small(stored(classes.where("n > 1").select("doc_id")), 16)
+    gone = small(stored(classes.where("not kept and n = 1").select("doc_id")))
+    repeated = small(stored(classes.where("n > 1").select("doc_id")))
     once = docs.join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti")
-    several = docs.join(small(stored(classes.where("n > 1 and kept").select("doc_id")), 16), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    several = docs.join(small(stored(classes.where("n > 1 and kept").select("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
