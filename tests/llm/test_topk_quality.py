@@ -11,10 +11,9 @@ from termweave.llm import quality, topk
 def brute(rows, k):
     rows = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in rows:
-        if q % 20 == 0:
-            best = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for q in {q for q, _ in rows if q % 20 == 0}:
+        pairs = ((-sum(x * y for x, y in zip(a, b)), i) for j, a in rows if j == q for i, b in rows if i != q)
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(pairs)[:k])]
     return sorted(out)
 
 
@@ -23,7 +22,7 @@ def got(df, **more):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 32)
     rng = random.Random(6)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
     rows += [(i, [0.5] * 8) for i in range(300, 420)]  # many ties
@@ -36,15 +35,33 @@ def test_against_brute_force(spark, monkeypatch):
 def test_few_rows_and_repeats(spark):
     schema = "vec_id long, embedding array<float>"
     assert got(spark.createDataFrame([], schema)) == [] and got(spark.createDataFrame([(0, [1.0])], schema)) == []
-    rows = [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [-1.0])]
-    assert got(spark.createDataFrame(rows, schema)) == [(0, 1, 1, 8192), (0, 2, 2, -4096)]
-
-
-def test_large_values_stay_exact(spark):
-    rows = [(0, [1e9, 3.0]), (1, [1e9, 5.0]), (2, [1e9, 4.0]), (3, [-1e9, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    want = brute(rows, 20)
-    assert [r[2] for r in got(df)] == [1, 2, 3] and [(r[2], min(r[3], topk.LIMIT)) for r in got(df)] == [(r[2], max(-topk.LIMIT, min(topk.LIMIT, r[3]))) for r in want]
+    rows = [(0, [1.0]), (0, [1.0]), (0, [-2.0]), (1, [2.0]), (1, [2.0]), (2, [-1.0])]
+    assert got(spark.createDataFrame(rows, schema)) == brute(rows, 20) and len(brute(rows, 20)) == 9
+    rows = [(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [-1.0])]
+    assert got(spark.createDataFrame(rows, schema)) == brute(rows, 20) and len(brute(rows, 20)) == 3
+    rows = [(0, [1.0])] * 5 + [(1, [2.0])] * 30 + [(3, [2.0])] * 30 + [(2, [3.0])] * 2
+    assert got(spark.createDataFrame(rows, schema)) == brute(rows, 20)
+
+
+def test_scores_of_any_size_are_exact(spark):
+    schema = "vec_id long, embedding array<double>"
+    for rows in (
+        [(0, [1e9, 3.0]), (1, [1e9, 5.0]), (2, [1e9, 4.0]), (3, [-1e9, 1.0])],
+        [(0, [2.0**24]), (1, [2.0**25]), (2, [1.5 * 2.0**25])],
+        [(0, [2.0**20, 1.0]), (1, [2.0**20, 1.0]), (2, [2.0**20, 2.0]), (3, [-(2.0**20), 2.0])],
+        [(0, [1e200, -3.0]), (1, [1e200, 5.0]), (2, [1e200, 4.0]), (3, [-1e-300]), (4, [1.0, 1e300])],
+    ):
+        want = [(q, rank, i, s if -(2**63) <= s < 2**63 else None) for q, rank, i, s in brute(rows, 20)]
+        assert got(spark.createDataFrame(rows, schema)) == want
+
+
+def test_blocks_in_parts(spark, monkeypatch):
+    """Blocks of a few rows: the rows of one id go to the tasks in several parts."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "BINS", 8)
+    rng = random.Random(8)
+    rows = [(i % 25, [float(rng.randint(-3, 3)) for _ in range(rng.choice([3, 3, 1]))]) for i in range(90)]
+    assert got(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=7) == brute(rows, 7)
 
 
 def test_held_out_accuracy(spark):
