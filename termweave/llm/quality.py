@@ -118,10 +118,11 @@ def calibrated(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[
     return float(p[0]), float(p[1])
 
 
-def _learned(rows: list[np.ndarray], y: np.ndarray) -> Model:
+def _learned(rows: list[np.ndarray], y: np.ndarray, rounds: int = 20) -> Model:
     ratio = log_count_ratios(rows, y)
     scaled = [ratio[r] / max(1, len(r)) ** 0.5 for r in rows]
-    w, bias = dual_coordinate_descent(rows, scaled, y, np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())))
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    w, bias = dual_coordinate_descent(rows, scaled, y, cost, rounds)
     return Model((w * ratio).astype(np.float32), float(bias), 1.0, 0.0)
 
 
@@ -130,22 +131,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: tuple[float, float]
 
     weights says how many labelled rows one row of class 0, of class 1 stands for: scores are calibrated to the shares of these.
 
-    With one class only (or under five rows of one), scores are constant: the share of label 1, 0.5 without rows.
+    A class of fewer than five rows makes as many parts as it has rows. One row of a class can't be held out of its own
+    model, so all rows then calibrate with the margins of the model that learned from them. With one class only there
+    is nothing to tell apart: scores are constant, the share of label 1, 0.5 without rows.
     """
     y = np.where(np.asarray(labels) > 0, 1, -1)
     weight = np.where(y > 0, weights[1], weights[0])
-    if min((y > 0).sum(), (y < 0).sum()) < 5:
+    fewest = min((y > 0).sum(), (y < 0).sum())
+    if not fewest:
         share = np.clip(np.average(y > 0, weights=weight), 0.001, 0.999) if len(y) else 0.5
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+    model, margins = _learned(rows, y), np.zeros(len(y))
     fold = np.zeros(len(y), int)
     for k in (1, -1):
-        fold[y == k] = np.arange((y == k).sum()) % 5
-    margins = np.zeros(len(y))
-    for held in range(5):
-        partial = _learned([rows[i] for i in np.flatnonzero(fold != held)], y[fold != held])
+        fold[y == k] = np.arange((y == k).sum()) % min(5, fewest)
+    for held in np.unique(fold):
+        partial = _learned([rows[i] for i in np.flatnonzero(fold != held)], y[fold != held]) if fewest > 1 else model
         for i in np.flatnonzero(fold == held):
             margins[i] = partial.margin(rows[i])
-    model = _learned(rows, y)
     model.slope, model.offset = calibrated(margins, y, weight)
     return model
 
@@ -158,10 +161,13 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     """Learns from at most per_class labelled rows of each class, those of least md5(key), none of them held out.
 
     Scores are calibrated to the classes' shares in all labels that could be learned from, so they don't depend on per_class.
-    Null keys and labels other than 0 and 1 don't count; a key labelled both ways doesn't either. A key's
-    texts are all learned from if it repeats (at most two).
+    Null keys and labels other than 0 and 1 don't count; a key labelled both ways doesn't either. If a key has several
+    texts, its label is taken to mean the one of least md5; empty and null texts are learned from like others. Texts of any
+    length are read whole on the executors; the driver gets their indices, 4 * DIMENSIONS bytes of a text at most.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).groupBy(F.col(key).cast("long").alias("key")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other")).where("label = other")
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key))
+    known = usable.groupBy(F.col(key).cast("long").alias("key")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
+    known = known.where("label = other")
     order = F.md5(F.col("key").cast("string").cast("binary"))
     sample = [r for k in (0, 1) for r in known.where(F.col("label") == k).orderBy(order).limit(per_class).select("key", "label").collect()]
     if not sample:
@@ -169,27 +175,29 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     taken = [sum(r["label"] == k for r in sample) for k in (0, 1)]
     there = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     weights = tuple(there[k] / taken[k] if taken[k] else 1.0 for k in (0, 1))
-    spark = df.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in sample], "key long, label int"))
+    chosen = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in sample], "key long, label int"))
     texts = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).join(chosen, "key")
 
     def rows(batches):
         features = Features()
         for batch in batches:
-            found = [features(t.as_py()).tobytes() for t in batch.column(batch.schema.get_field_index("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("key", "label")] + [pa.array(found, pa.binary())], names=["key", "label", "features"])
-
-    got = texts.select("key", "text", "label").mapInArrow(rows, "key long, label int, features binary").toArrow().to_pylist()
-    seen: dict[int, int] = {}
-    got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["key"])), r["features"]))
-    got = [r for r in got if seen.setdefault(r["key"], 0) < 2 and not seen.update({r["key"]: seen[r["key"]] + 1})]
+            found = [features(t.as_py()).tobytes() for t in batch.column(1)]
+            columns = [batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "features", "label", "order"])
+
+    found = texts.select("key", "text", "label", F.md5(F.col("text").cast("binary")).alias("order"))
+    found = found.mapInArrow(rows, "key long, features binary, label int, order string")
+    # One text of a key, chosen before anything reaches the driver: a key may be on any number of rows.
+    got = found.groupBy("key", "label").agg(F.min_by("features", "order").alias("features")).toArrow().to_pylist()
+    got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["key"])), r["key"]))
     return fit([np.frombuffer(r["features"], np.int32) for r in got], np.array([r["label"] for r in got]), weights)
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """df with a score from 0 to 1 of each whole text (null: empty) in `column`, which replaces one of that name.
 
-    Only the text is looked at. Repeated rows score alike; an empty table gives an empty one.
+    Only the text is looked at, whole however long it is. Repeated rows score alike; rows without words have the score of
+    the model's bias; an empty table gives an empty one.
     """
     df = df.drop(column) if column in df.columns else df
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.DoubleType())])
