@@ -20,8 +20,8 @@ SALT_ROWS, MIN_SALTS = 60_000, 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(batches, path: str | None, size: int, end_id: int):
-    encoder, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+def _pieces(batches, path: str | None, size: int, end_id: int, specials: bool):
+    encoder, end = Encoder(path, specials), np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -34,9 +34,12 @@ def _pieces(batches, path: str | None, size: int, end_id: int):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=[c.split()[0] for c in PIECES.split(", ")])
 
 
-def tokenize_and_cut(df: DataFrame, size: int, path: str | None = None, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's ids and its end id, cut every `size` ids; only the last piece may be shorter."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(lambda b: _pieces(b, path, size, end_id), PIECES)
+def tokenize_and_cut(
+    df: DataFrame, size: int, path: str | None = None, end_id: int = 0, key: str = "doc_id", text: str = "text", specials: bool = False
+) -> DataFrame:
+    """Each document's ids and its end id, cut every `size` ids; only the last piece may be shorter. specials: see Encoder."""
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    return rows.mapInArrow(lambda b: _pieces(b, path, size, end_id, specials), PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -96,16 +99,19 @@ def ranked(pieces: DataFrame) -> DataFrame:
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def pack(df: DataFrame, size: int = 1024, path: str | None = None, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    df: DataFrame, size: int = 1024, path: str | None = None, end_id: int = 0, key: str = "doc_id", text: str = "text", specials: bool = False
+) -> DataFrame:
     """A row for each piece with its sequence and its offset there.
 
     Documents are cut into pieces of `size` ids and a rest; pieces are never cut again. The driver sees the
     histogram of lengths only (at most `size` rows) and makes the patterns; pieces find their place by their
-    rank within their length. A null text is an empty one and yields the end id alone; repeated rows are
-    packed each; null keys stay null; ties in rank are between equal rows; other columns aren't looked at;
-    an empty table gives an empty one.
+    rank within their length. A null text is an empty one and yields the end id alone; very long texts are
+    tokenized whole; repeated rows are packed each; null keys stay null; ties in rank are between equal rows; other
+    columns aren't looked at; an empty table gives an empty one. Strings of special tokens in a text are ordinary text, or, with
+    specials=True, those tokens.
     """
-    pieces = stored(tokenize_and_cut(df, size, path, end_id, key, text))
+    pieces = stored(tokenize_and_cut(df, size, path, end_id, key, text, specials))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = slots(shortest_pack_first(histogram, size))
 

@@ -66,26 +66,49 @@ class _Memory(dict):
         return value
 
 
+@lru_cache(maxsize=2)
+def special_tokens(path: str) -> dict[str, int]:
+    """Strings and ids of the file's special tokens."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"] if x["special"]}
+
+
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, as bytes. Strings of special tokens are ordinary text."""
+    """Little-endian unsigned 32-bit ids of texts, as bytes.
 
-    def __init__(self, path: str | None = None):
+    specials: whether strings of special tokens in a text become those tokens. By default they are ordinary text, so that no
+    text can say where a document ends: the file's library does so with encode_special_tokens = True.
+    """
+
+    def __init__(self, path: str | None = None, specials: bool = False):
         self.encode = engine(path or default_path()).encode_ordinary
         self.memory = _Memory(self._whole)
+        self.specials = special_tokens(path or default_path()) if specials else {}
+        longest_first = sorted(self.specials, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest_first))) if self.specials else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
+    def _ordinary(self, text: str) -> bytes:
         parts = chunks(text)
         if parts is None:
             return self._whole(text)
         memory = self.memory
         return b"".join([memory[p] for p in parts])
 
+    def ids(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self._ordinary(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._ordinary(text[at : m.start()]), np.array([self.specials[m[0]]], dtype="<u4").tobytes()]
+            at = m.end()
+        return b"".join([*out, self._ordinary(text[at:])])
+
 
 class Counter:
-    """(characters, tokens) of each pre-token of a text, as an array of two columns."""
+    """(characters, tokens) of each pre-token of a text, as an array of two columns. Strings of special tokens are ordinary text."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers

@@ -10,15 +10,19 @@ from hypothesis import strategies as st
 from termweave.llm import editcount, packing, tokens
 
 
-@pytest.fixture(scope="module")
-def own_library():
+def library(specials):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not specials
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def own_library():
+    return library(False)
+
+
 ODD = ["", " ", "  ", "a", "a  b", "a \n b", "\n\n  x", "don't we'll I'm 'tis", "x  ", "é  y", "12345 ½ ² 一二", "foo\nbar  baz\tqux", "<|endoftext|>", "a" * 3000, "  \n \t ", "\x1c \x1d a", "日本語 テスト", "...!!! ???"]
 
 
@@ -29,6 +33,14 @@ def test_ids_are_those_of_the_file(spark, own_library):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == own_library(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "a", " ", "\n", "b c", "<", "|>"]), max_size=8).map("".join), st.booleans())
+def test_special_strings_either_way(text, specials):
+    """As ordinary text (the default), and as the tokens that the file's library makes of them unless told otherwise."""
+    known = test_special_strings_either_way.__dict__.setdefault(specials, (tokens.Encoder(specials=specials), library(specials)))
+    assert np.frombuffer(known[0].ids(text), "<u4").tolist() == known[1](text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab \n\t'sl1.é　", max_size=30))
 def test_ids_of_any_text(text):
