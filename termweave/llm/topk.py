@@ -88,8 +88,15 @@ def _histogram(batches, block: Block, span: int, width: int, scale: float):
     for batch in batches:
         for row, times, _, s, other in block.scored(batch, scale):
             beyond = s - block.lo[row][:, None]
-            q, c = np.nonzero(other & (beyond >= 0) & (beyond < span) & ~block.settled[row][:, None])
-            np.add.at(counts.reshape(-1), row[q] * BINS + (beyond[q, c] // width).astype(np.int64), times[q])
+            inside = other & (beyond >= 0) & (beyond < span) & ~block.settled[row][:, None]
+            place = (beyond // width).astype(np.int64) + (np.arange(len(row)) * BINS)[:, None] if beyond.dtype != object else None
+            if place is None:  # numbers beyond 64 bits: their bins are small again
+                q, c = np.nonzero(inside)
+                found = q * BINS + (beyond[q, c] // width).astype(np.int64)
+            else:
+                found = place[inside]
+            mine = np.bincount(found, minlength=len(row) * BINS).reshape(len(row), BINS)
+            np.add.at(counts, row, mine * times[:, None])
     above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
     q, b = np.nonzero((counts > 0) & (above < block.need[:, None]))
     for at in range(0, max(1, len(q)), 50_000):
