@@ -6,17 +6,19 @@ import argparse
 import os
 import sys
 
-import yaml
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from termweave.functions.text import MENTION
 from termweave.operators.mentions import PatternError, checked_pattern
 from termweave.plans import validate
+from termweave.plans.host import HostError, read_host
 from termweave.sources.config import DEFAULT_ADAPTER, Options
 from termweave.sources.data import read_data
 from termweave.sources.ontology import OntologyCatalog
 from termweave.sources.schema import Schema
 from termweave.sources.snapshot import LabelCache
+from termweave.sources.storage import kept
 
 
 def say(text: str = "", err: bool = False) -> None:
@@ -62,11 +64,11 @@ def parser() -> argparse.ArgumentParser:
     _ontology(p)
 
     p = commands.add_parser("validate-data", help="check data files against a schema")
-    p.add_argument("data_paths", nargs="+")
-    p.add_argument("-s", "--schema", required=True)
+    p.add_argument("data_paths", nargs="*")
+    p.add_argument("-s", "--schema")
     for name, default in (("bindings", True), ("dynamic-enums", True), ("labels", True), ("static-enums", False)):
         _flag(p, name, default)
-    p.add_argument("--plugins", help="YAML file that names the checks to run (key plugins)")
+    p.add_argument("--plugins", help="YAML file with the checks to run and their options (plugins), and maybe schema, data_sources, target_class")
     _data_flags(p)
     _ontology(p)
 
@@ -95,7 +97,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _options(a: argparse.Namespace, strict: bool = False) -> Options:
-    options = Options(a.adapter, strict, config_path=a.config, cache_dir=a.cache_dir, cache_enum_expansions=getattr(a, "cache_enum_expansions", True), saturate_enum_caches=getattr(a, "saturate_enum_caches", False), cache_strategy=getattr(a, "cache_strategy", "progressive"))
+    given = {k: getattr(a, k) for k in ("cache_enum_expansions", "saturate_enum_caches", "cache_strategy") if hasattr(a, k)}
+    options = Options(a.adapter, strict, config_path=a.config, cache_dir=a.cache_dir, **given)
     return options.without_cache() if getattr(a, "no_cache", False) else options
 
 
@@ -112,11 +115,11 @@ def _summary(path: str, result: validate.Result, counts: dict, verbose: bool) ->
     say("=" * 60)
     for title, key in (("Enums checked", "enums_checked"), ("Values checked", "values_checked"), ("Meanings validated", "meanings_checked")):
         say(f"{title}: {result.counters.get(key, 0)}")
-    rows = result.issues.orderBy("enum_name", "value_name").collect()
+    rows = result.issues.orderBy("enum_name", "value_name")
     for mark, level, n in (("❌ ERRORS", "ERROR", counts["error_count"]), ("⚠️  WARNINGS", "WARNING", counts["warning_count"])):
         if n:
             say(f"\n{mark} ({n}):")
-            for r in (r for r in rows if r.severity == level):
+            for r in rows.where(F.col("severity") == level).toLocalIterator():
                 say(f"  {r.enum_name}.{r.value_name}: {r.message}")
                 if level == "ERROR":
                     say(f"    Meaning: {r.meaning}")
@@ -146,51 +149,62 @@ def validate_schema(a: argparse.Namespace) -> int:
     return 0
 
 
-#: Names by which a configuration may ask for a check: the last part of a dotted name, without regard to case.
-CHECKS = {"bindingvalidationplugin": "bindings", "bindings": "bindings", "dynamicenumplugin": "dynamic_enums", "dynamic_enums": "dynamic_enums", "permissiblevaluemeaningplugin": "meanings", "meanings": "meanings"}
-
-
-def _checks(a: argparse.Namespace) -> list[validate.Check]:
-    wanted = [k for k in ("dynamic_enums", "bindings") if getattr(a, k)]
+def _jobs(a: argparse.Namespace) -> tuple[list[tuple[validate.Check, Options]], dict]:
+    """The checks to run with their options, and what a host configuration says of schema, data and class."""
+    options = _options(a, not a.lenient)
     if getattr(a, "plugins", None):
-        with open(a.plugins, encoding="utf-8") as f:
-            wanted = [CHECKS[str(name).rsplit(".", 1)[-1].lower()] for name in (yaml.safe_load(f) or {}).get("plugins") or {} if str(name).rsplit(".", 1)[-1].lower() in CHECKS]
-    made = {
-        "dynamic_enums": lambda: validate.DynamicEnumCheck(getattr(a, "static_enums", False)),
-        "bindings": lambda: validate.BindingCheck(labels=a.labels, strict=not a.lenient),
-        "meanings": lambda: validate.MeaningCheck(strict=not a.lenient),
-    }
-    return [made[k]() for k in wanted]
+        host = read_host(a.plugins, options, not a.lenient)
+        return host.jobs, {"schema": host.schema, "data_paths": host.data_sources, "target_class": host.target_class}
+    jobs: list[tuple[validate.Check, Options]] = []
+    if a.dynamic_enums:
+        jobs.append((validate.DynamicEnumCheck(getattr(a, "static_enums", False)), options))
+    if a.bindings:
+        jobs.append((validate.BindingCheck(labels=a.labels, strict=not a.lenient), options))
+    return jobs, {}
 
 
 def validate_data(a: argparse.Namespace) -> int:
-    for path in [*a.data_paths, a.schema]:
+    try:
+        jobs, host = _jobs(a)
+    except (HostError, OSError) as wrong:
+        say(f"❌ {wrong}", err=True)
+        return 1
+    schema_path, target = a.schema or host.get("schema"), a.target_class or host.get("target_class")
+    data_paths = a.data_paths or host.get("data_paths") or []
+    if not schema_path or not data_paths:
+        say("❌ A schema and data files are needed, as arguments or in the configuration", err=True)
+        return 1
+    for path in [*data_paths, schema_path]:
         if not os.path.exists(path):
             say(f"❌ File not found: {path}", err=True)
             return 1
-    some = _checks(a)
-    if not some:
+    if not jobs:
         say("⚠️  No validation enabled. Use --bindings or --dynamic-enums", err=True)
         return 1
     spark = session()
-    service, schema = validate.Service(spark, _options(a, not a.lenient)), Schema.load(a.schema)
-    many, failed, total = len(a.data_paths) > 1, 0, 0
-    for path in a.data_paths:
-        issues = validate.validate_data(read_data(spark, path), schema, service, some, a.target_class).orderBy("path", "type", "message").collect()
-        name = os.path.basename(path)
-        if not issues:
+    schema, services = Schema.load(schema_path), []
+    for check, options in jobs:
+        service = next((s for s in services if s.options == options), None)
+        if service is None:
+            services.append(service := validate.Service(spark, options))
+        check.prepare(service, schema)
+    many, failed, total = len(data_paths) > 1, 0, 0
+    for path in data_paths:
+        issues = kept(validate.run_checks(read_data(spark, path), schema, [c for c, _ in jobs], target))
+        name, n = os.path.basename(path), issues.count()
+        if not n:
             if many:
                 say(f"✅ {name}")
             continue
-        failed, total = failed + 1, total + len(issues)
-        say(f"\n❌ {name} - {len(issues)} issue(s):" if many else f"\n❌ Validation failed with {len(issues)} issue(s):\n")
-        for r in issues:
+        failed, total = failed + 1, total + n
+        say(f"\n❌ {name} - {n} issue(s):" if many else f"\n❌ Validation failed with {n} issue(s):\n")
+        for r in issues.orderBy("path", "type", "message").toLocalIterator():
             say(f"  {'❌' if r.severity == 'ERROR' else '⚠️'} {r.severity}: {r.message}")
             for line in r.context:
                 say(f"      {line}")
     if many:
         say()
-        say(f"Summary: {failed}/{len(a.data_paths)} files failed, {total} total issue(s)" if failed else f"✅ All {len(a.data_paths)} files passed validation")
+        say(f"Summary: {failed}/{len(data_paths)} files failed, {total} total issue(s)" if failed else f"✅ All {len(data_paths)} files passed validation")
     elif not failed:
         say("✅ Validation passed")
     return int(failed > 0)
@@ -215,15 +229,17 @@ def migrate_cache(a: argparse.Namespace) -> int:
         prefixes = sorted({r[0].split(":", 1)[0] for r in rows.selectExpr("substring_index(curie, ':', 1)").distinct().collect() if r[0]})
         return catalog.terms(prefixes)
 
-    reports = LabelCache(spark, a.cache_dir).migrate(fresh if a.refresh_labels else None, a.sort_only, a.dry_run)
+    reports = []
+    for r in LabelCache(spark, a.cache_dir).migrate(fresh if a.refresh_labels else None, a.sort_only, a.dry_run):
+        reports.append(r)
+        if r["changes"] is not None:
+            for curie, old, new in r["changes"].orderBy("curie").toLocalIterator():
+                say(f"  {curie}: '{old}' -> '{new}'")
+        what = [f"{r['duplicates']} dupes removed"] * (r["duplicates"] > 0) + [f"{r['relabelled']} relabeled"] * (r["relabelled"] > 0) + ["sorted"] * r["unsorted"]
+        say(f"  {'Would update' if a.dry_run else 'Updated'} {r['path']} ({', '.join(what)})" if r["rewrite"] else f"  {r['path']} - no changes needed")
     if not reports:
         say("No cache files found to migrate.")
         return 0
-    for r in reports:
-        for curie, old, new in r["changes"]:
-            say(f"  {curie}: '{old}' -> '{new}'")
-        what = [f"{r['duplicates']} dupes removed"] * (r["duplicates"] > 0) + [f"{r['relabelled']} relabeled"] * (r["relabelled"] > 0) + ["sorted"] * r["unsorted"]
-        say(f"  {'Would update' if a.dry_run else 'Updated'} {r['path']} ({', '.join(what)})" if r["rewrite"] else f"  {r['path']} - no changes needed")
     say(f"\nMigration {'preview' if a.dry_run else 'complete'}:")
     say(f"  Files scanned: {len(reports)}")
     say(f"  Files {'needing update' if a.dry_run else 'updated'}: {sum(r['rewrite'] for r in reports)}")
@@ -243,24 +259,22 @@ def validate_text_file(a: argparse.Namespace) -> int:
         say(f"❌ {wrong}", err=True)
         return 1
     pairs, result = validate.validate_text(session(), os.path.abspath(a.file_path), _options(a, a.strict), a.regex, a.curie_group, a.label_group)
-    found = pairs.collect()
-    if not found:
+    n, n_issues = pairs.count(), result.issues.count()
+    if not n:
         say(f"⚠️  No matches found in {a.file_path} with pattern: {a.regex}")
         return 0
-    issues = result.issues.collect()
-    line = lambda where: int(where.split(":")[1])
+    line = lambda c: F.substring_index(c, ":", -1).cast("long")
     if a.verbose:
-        reported = {i.value_name for i in issues}
-        for r in sorted(found, key=lambda r: line(r.location)):
-            if r.curie not in reported:
-                say(f'  ✅ {r.location} {r.curie} "{r.label}"')
-    for i in sorted(issues, key=lambda i: line(i.enum_name)):
+        good = pairs.join(result.issues.select(F.col("value_name").alias("curie")).distinct(), "curie", "left_anti")
+        for r in good.orderBy(line("location")).toLocalIterator():
+            say(f'  ✅ {r.location} {r.curie} "{r.label}"')
+    for i in result.issues.orderBy(line("enum_name")).toLocalIterator():
         say(f"  ❌ {i.enum_name} {i.value_name}: {i.message}")
     _unknown(result.unknown_prefixes)
-    if issues:
-        say(f"\n❌ Validation failed: {len(issues)} error(s) in {len(found)} CURIE(s)", err=True)
+    if n_issues:
+        say(f"\n❌ Validation failed: {n_issues} error(s) in {n} CURIE(s)", err=True)
         return 1
-    say(f"✅ All {len(found)} CURIE(s) validated successfully" if not a.verbose else f"\n✅ All {len(found)} CURIE(s) validated successfully")
+    say("\n" * bool(a.verbose) + f"✅ All {n} CURIE(s) validated successfully")
     return 0
 
 

@@ -70,8 +70,9 @@ def binding_enum_violations(bound: DataFrame, members: DataFrame, kinds: DataFra
 
     A value that is no text is never a member.
     """
-    asked = bound.where("value is not null").join(lookup_side(kinds), "enum_name")
-    matched = asked.join(members.select("enum_name", F.col("value").alias("allowed")), (asked.enum_name == members.enum_name) & asked.value_is_string & (asked.value == F.col("allowed")), "left_anti")
+    asked = bound.where("value is not null").join(F.broadcast(kinds), "enum_name")  # a row for each enumeration of the schema
+    allowed = members.select(F.col("enum_name").alias("of"), F.col("value").alias("allowed"))
+    matched = asked.join(allowed, (F.col("enum_name") == F.col("of")) & F.col("value_is_string") & (F.col("value") == F.col("allowed")), "left_anti")
     bad = matched.join(lookup_side(sizes(members)), "enum_name", "left")
     size = F.array(_text("allowed_values: ", F.coalesce("n_allowed", F.lit(0)), " terms"))
     told = F.when(F.lit(counted) | ~F.col("dynamic"), size).otherwise(F.array().cast("array<string>"))
@@ -97,9 +98,16 @@ def label_mismatches(bound: DataFrame, labels: DataFrame) -> DataFrame:
 MEANING_ISSUES = "enum_name string, value_name string, severity string, message string, meaning string, expected_label string, actual_label string"
 
 
+def _with_prefix(rows: DataFrame, curie: str, prefixes: DataFrame) -> DataFrame:
+    """rows with prefix, and configured if it is; prefixes come from a configuration file, a row for each of its entries."""
+    on = F.broadcast(prefixes.where("configured").select("prefix", "configured"))
+    return rows.withColumn("prefix", prefix_of(F.col(curie))).join(on, "prefix", "left")
+
+
 def _with_labels(values: DataFrame, labels: DataFrame, prefixes: DataFrame) -> DataFrame:
-    named = values.where("meaning is not null and meaning <> ''").join(labels.select(F.col("curie").alias("meaning"), F.col("label").alias("actual_label")), "meaning", "left")
-    return named.withColumn("prefix", prefix_of(F.col("meaning"))).join(lookup_side(prefixes.where("configured").select("prefix", "configured")), "prefix", "left")
+    known = labels.select(F.col("curie").alias("meaning"), F.col("label").alias("actual_label"))
+    named = values.where("meaning is not null and meaning <> ''").join(known, "meaning", "left")
+    return _with_prefix(named, "meaning", prefixes)
 
 
 def schema_meaning_issues(values: DataFrame, labels: DataFrame, prefixes: DataFrame, strict: bool = False) -> DataFrame:
@@ -131,7 +139,7 @@ def plugin_meaning_issues(values: DataFrame, labels: DataFrame, strict: bool = F
 
 def pair_issues(pairs: DataFrame, labels: DataFrame, prefixes: DataFrame, strict: bool = False) -> DataFrame:
     """Identifier and label pairs (location, curie, label): unresolved ones if the prefix is configured or strict, and every label that differs; once for each mention."""
-    rows = pairs.join(labels.select("curie", F.col("label").alias("actual_label")), "curie", "left").withColumn("prefix", prefix_of(F.col("curie"))).join(lookup_side(prefixes.where("configured").select("prefix", "configured")), "prefix", "left")
+    rows = _with_prefix(pairs.join(labels.select("curie", F.col("label").alias("actual_label")), "curie", "left"), "curie", prefixes)
     missing = F.col("actual_label").isNull()
     told = F.coalesce("configured", F.lit(False)) | F.lit(strict)
     bad = rows.where((missing & told) | (~missing & (normalized(F.col("actual_label")) != normalized(F.col("label")))))

@@ -14,7 +14,7 @@ from termweave.functions.text import get_prefix, prefix_of
 from termweave.operators.closure import closure, members
 from termweave.sources.ontology import OntologyCatalog
 from termweave.sources.schema import EnumExpression, EnumSpec, Reachable
-from termweave.sources.storage import lookup_side
+from termweave.sources.storage import kept
 
 
 class EnumCycle(ValueError):
@@ -59,6 +59,7 @@ class EnumCompiler:
 
     def __init__(self, catalog: OntologyCatalog, enums: dict[str, EnumSpec], match_patterns: bool = False):
         self.catalog, self.spark, self.enums, self.match_patterns = catalog, catalog.spark, enums, match_patterns
+        self._reached: dict[Reachable, DataFrame] = {}
 
     def literal(self, values) -> DataFrame:
         return self.spark.createDataFrame([(v,) for v in sorted({v for v in values if v})], "value string")
@@ -69,12 +70,27 @@ class EnumCompiler:
     def _roots(self, q: Reachable) -> DataFrame:
         return self.spark.createDataFrame([(0, n, q.include_self) for n in q.source_nodes], "query_id int, node string, include_self boolean")
 
+    def _walk_all(self, names: list[str]) -> None:
+        """Walks the closures of all clauses that expanding the names needs: one walk for each ontology, direction and set of relations."""
+        specs = [self.enums[n] for n in inheritance_order(self.enums, names)]
+        clauses = {x.reachable_from for s in specs for x in (s, *s.include, *s.minus) if x.reachable_from} - set(self._reached)
+        walks: dict[tuple, list[Reachable]] = {}
+        for q in sorted(clauses, key=repr):
+            adapter = self.catalog.options.adapter_for(get_prefix(q.source_nodes[0])) if q.source_nodes else None
+            if adapter is None:
+                self._reached[q] = self.literal([])
+            else:
+                walks.setdefault((adapter, q.relationship_types, q.traverse_up), []).append(q)
+        for (adapter, relations, up), some in walks.items():
+            roots = [(i, n, q.include_self) for i, q in enumerate(some) for n in q.source_nodes]
+            roots = self.spark.createDataFrame(roots, "query_id int, node string, include_self boolean")
+            found = kept(closure(self.catalog.tables(adapter)[1], roots, list(relations), up))
+            for i, q in enumerate(some):
+                self._reached[q] = found.where(F.col("query_id") == i).select(F.col("node").alias("value"))
+
     def reachable(self, q: Reachable) -> DataFrame:
-        """All nodes of the closure, in the ontology of the first source node."""
-        edges = self.catalog.edges(get_prefix(q.source_nodes[0])) if q.source_nodes else None
-        if edges is None:
-            return self.literal([])
-        return closure(edges, self._roots(q), list(q.relationship_types), q.traverse_up).select(F.col("node").alias("value"))
+        """All nodes of the closure, in the ontology of the first source node (see _walk_all)."""
+        return self._reached[q]
 
     def _matching(self, x: EnumExpression) -> DataFrame | None:
         """Terms by pattern; off unless asked for, as definitions with patterns expand to nothing by default."""
@@ -94,6 +110,7 @@ class EnumCompiler:
 
     def expand(self, name: str) -> DataFrame:
         """Reachable, matching and listed values and includes, less minus; then what is inherited and its own values, neither of which minus touches."""
+        self._walk_all([name])
         done: dict[str, DataFrame] = {}
         for n in inheritance_order(self.enums, [name]):
             spec = self.enums[n]
@@ -109,10 +126,10 @@ class EnumCompiler:
         out, asked = [], values.select("value").where("value is not null").distinct()
         for n in inheritance_order(self.enums, [name]):
             spec = self.enums[n]
-            listed = self.literal([*spec.concepts, *(v for pv in spec.permissible_values for v in (pv.name, pv.meaning))])
-            out.append(asked.join(lookup_side(listed), "value", "left_semi"))
+            listed = F.col("value").isin([v for v in {*spec.concepts, *(v for pv in spec.permissible_values for v in (pv.name, pv.meaning))} if v])
+            out.append(asked.where(listed))
             if spec.reachable_from:
-                out.append(self._walk(asked.join(lookup_side(listed), "value", "left_anti"), spec.reachable_from))
+                out.append(self._walk(asked.where(~listed), spec.reachable_from))
         return self._union(out)
 
     def _walk(self, values: DataFrame, q: Reachable) -> DataFrame:
@@ -135,7 +152,11 @@ class EnumCompiler:
     def table(self, names: list[str], values: DataFrame, mode: str) -> DataFrame:
         """(enum_name, value) for the checks: values (enum_name, value) are those that occur in the data."""
         parts = []
+        if mode == "greedy":
+            self._walk_all(names)
+        else:
+            values = kept(values.select("enum_name", "value").where("value is not null").distinct())
         for n in names:
             got = self.expand(n) if mode == "greedy" else self.accepted(n, values.where(F.col("enum_name") == n))
             parts.append(got.select(F.lit(n).alias("enum_name"), "value"))
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "enum_name string, value string")
+        return kept(reduce(DataFrame.unionByName, parts)) if parts else self.spark.createDataFrame([], "enum_name string, value string")

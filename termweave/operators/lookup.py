@@ -9,10 +9,12 @@ from termweave.functions.text import prefix_of
 
 
 def labels(curies: DataFrame, terms: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """(curie, label) for each distinct curie; a cached label wins over the ontology's, a missing one is null."""
+    """(curie, label) for each distinct curie; a cached label wins over the ontology's, a missing one is null.
+
+    Terms meet the curies before anything is grouped, so that only those asked for are.
+    """
     keys = curies.select("curie").where("curie is not null").distinct()
-    one = terms.groupBy("curie").agg(F.min("label").alias("label"))
-    out = keys.join(one, "curie", "left")
+    out = keys.join(terms.select("curie", "label"), "curie", "left").groupBy("curie").agg(F.min("label").alias("label"))
     if cache is not None:
         out = out.join(cache.select("curie", F.col("label").alias("cached")), "curie", "left").select("curie", F.coalesce("cached", "label").alias("label"))
     return out

@@ -171,16 +171,20 @@ def validate_schema(spark: SparkSession, path: str, options: Options, service: S
     return Result(issues, counters, sorted(service.unknown))
 
 
-def validate_data(df: DataFrame, schema: Schema, service: Service, some: list[Check], target_class: str | None = None, instance_id: Column | None = None) -> DataFrame:
-    """The issues of one table of instances by all given checks."""
+def run_checks(df: DataFrame, schema: Schema, some: list[Check], target_class: str | None = None, instance_id: Column | None = None) -> DataFrame:
+    """The issues of one table of instances by checks that are prepared."""
     target = target_class or schema.root()
     if target not in schema.classes:
         raise ValueError(f"target class {target!r} is not in the schema")
-    parts = []
+    parts = [check.issues(df, target, instance_id) for check in some]
+    return checks.union(parts) if parts else df.sparkSession.createDataFrame([], checks.ISSUES)
+
+
+def validate_data(df: DataFrame, schema: Schema, service: Service, some: list[Check], target_class: str | None = None, instance_id: Column | None = None) -> DataFrame:
+    """The issues of one table of instances by all given checks, with one service."""
     for check in some:
         check.prepare(service, schema)
-        parts.append(check.issues(df, target, instance_id))
-    return checks.union(parts) if parts else df.sparkSession.createDataFrame([], checks.ISSUES)
+    return run_checks(df, schema, some, target_class, instance_id)
 
 
 def validate_text(spark: SparkSession, path: str, options: Options, pattern: str = MENTION, curie_group: int = 1, label_group: int = 2, service: Service | None = None) -> tuple[DataFrame, Result]:

@@ -6,6 +6,7 @@ the same in plain SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,14 @@ from termweave.functions import severity
 from termweave.functions.text import names_of, normalized, prefix_of
 from termweave.operators import checks, closure, lookup, mentions, migrate, paths
 from termweave.operators.enums import EnumCompiler
-from termweave.sources.ontology import EDGES, SUBCLASS, OntologyCatalog
+from termweave.plans import validate
+from termweave.sources import ontology
+from termweave.sources.config import Options, as_bool
+from termweave.sources.data import read_data, read_text
+from termweave.sources.ontology import SUBCLASS, OntologyCatalog
 from termweave.sources.schema import Schema
+from termweave.sources.snapshot import EnumCache, LabelCache
+from termweave.sources.storage import kept, scratch_dir
 
 PART_OF = "BFO:0000050"
 PREFIXES = ["REGION", "NATION", "CUST", "SUPP", "PART", "BRAND", "PTYPE"]
@@ -71,6 +78,7 @@ SCHEMA = {
             "attributes": {
                 "order_id": {"identifier": True},
                 "priority": {"range": "PriorityEnum"},
+                "state": {"range": "StatusListEnum"},
                 "status": {"range": "Status", "bindings": [{"binds_value_of": "code", "range": "StatusEnum", "obligation_level": "REQUIRED"}]},
                 "items": {"range": "Item", "multivalued": True},
             },
@@ -90,6 +98,9 @@ SCHEMA = {
         "StatusEnum": {"permissible_values": {"O": {}, "F": {}}},
         "PartEnum": {"reachable_from": {"source_nodes": ["PTYPE:SMALL", "PTYPE:LARGE", "PTYPE:PROMO"]}},
         "SupplierEnum": {"reachable_from": {"source_nodes": ["REGION:0", "REGION:1", "REGION:2"]}},
+        "UnionEnum": {"reachable_from": {"source_nodes": ["REGION:3", "NATION:1"]}, "concepts": ["A:1", "NATION:1"], "permissible_values": {"OWN": {"meaning": "A:2"}, "A:1": {}}},
+        "PatternEnum": {"matches": {"identifier_pattern": "NATION:1[0-9]"}},
+        "StatusListEnum": {"permissible_values": {"O": {}, "X": {"meaning": "Y"}}},
         "BaseEnum": {"reachable_from": {"source_nodes": ["REGION:0"], "include_self": True}},
         "IncludeEnum": {"concepts": ["A:1"], "include": [{"reachable_from": {"source_nodes": ["REGION:1"]}}, {"concepts": ["A:2"]}, {"permissible_values": {"P_ONE": {"meaning": "A:3"}}}]},
         "MinusEnum": {"reachable_from": {"source_nodes": ["REGION:2"], "include_self": True}, "minus": [{"reachable_from": {"source_nodes": ["NATION:2"]}}, {"concepts": ["NATION:7"]}]},
@@ -130,12 +141,15 @@ class Workload:
         orders = self.table("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
         code = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderstatus"))
         return orders.join(items, orders.o_orderkey == items.l_orderkey, "left").select(
-            F.concat(F.lit("ORDER:"), F.col("o_orderkey").cast("string")).alias("order_id"), F.col("o_orderpriority").alias("priority"), F.struct(code.alias("code")).alias("status"), "items"
+            F.concat(F.lit("ORDER:"), F.col("o_orderkey").cast("string")).alias("order_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("state"), F.struct(code.alias("code")).alias("status"), "items"
         )
 
     def bound(self) -> DataFrame:
         return paths.bound_values(self.orders(), self.schema, "Order", F.col("order_id"))
 
+    def static(self, names: list[str]) -> DataFrame:
+        return validate.static_members(self.spark, [self.schema.enums[n] for n in names])
+
     def values(self) -> DataFrame:
         one = lambda c: F.array_compact(F.array(c))
         notes = F.create_map(F.lit("label"), F.col("note"), F.lit("other"), F.lit("not a name"))
@@ -149,6 +163,130 @@ def _shown(issues: DataFrame) -> DataFrame:
     return issues.withColumn("context", F.array_join("context", "|"))
 
 
+def _saved(w: Workload, name: str) -> str:
+    """A folder of the query's own in the shared one."""
+    return f"{scratch_dir(w.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def prefix_routing(w: Workload) -> DataFrame:
+    """Which adapter answers for the prefixes in use: by a mapping, and by default."""
+    asked = w.source("items").select(prefix_of(F.col("part_id")).alias("prefix")).union(w.source("terms").select("prefix")).where("prefix is not null").distinct()
+    mapped = Options(adapters=CONFIGURED).routes(asked).withColumnRenamed("adapter", "mapped")
+    return Options().routes(mapped).select("prefix", "mapped", F.col("adapter").alias("default_adapter"))
+
+
+def config_booleans(w: Workload) -> DataFrame:
+    """What a configuration may write for a switch; null for what is an error."""
+
+    def read(value: object) -> bool | None:
+        try:
+            return as_bool(value, "x")
+        except ValueError:
+            return None
+
+    given = {"yes, in YAML": True, "false, in YAML": False, " True ": " True ", "FALSE": "FALSE", "1": 1, "on": "on", "none": None}
+    return w.spark.createDataFrame([(k, read(v)) for k, v in given.items()], "written string, value boolean")
+
+
+def label_cache_upsert(w: Workload) -> DataFrame:
+    """Two saves of one prefix and what is loaded then: labels that change get the later time. Labels hold quotes and line breaks."""
+    cache = LabelCache(w.spark, _saved(w, "labels"))
+    names = w.table("customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("CUST:"), F.col("c_custkey").cast("string")).alias("curie"), F.col("c_name").alias("label"))
+    cache.save("CUST", names.where("curie not like '%4'"), now="2025-01-01")
+    changed = F.when(F.col("curie").like("%1"), F.concat("label", F.lit('\n"new"'))).otherwise(F.col("label"))
+    cache.save("CUST", names.withColumn("label", changed), now="2025-02-02")
+    return cache.load(["CUST"])
+
+
+def label_cache_files(w: Workload) -> DataFrame:
+    """Rows of all cache files of a folder, as written."""
+    cache = LabelCache(w.spark, _saved(w, "labels"))
+    for prefix in ("NATION", "REGION"):
+        cache.save(prefix, w.source("terms").where(F.col("prefix") == prefix).select("curie", "label"), now="2025-01-01")
+    found = [cache.files.uri(p) for p in cache.files.list(cache.folder, "*/terms.csv")]
+    return w.spark.read.option("header", True).csv(found).select("curie", "label", "retrieved_at")
+
+
+def enum_cache_append(w: Workload) -> DataFrame:
+    """A partial snapshot grows, a complete one replaces; the mark tells which is which."""
+    cache, spec = EnumCache(w.spark, _saved(w, "enums")), w.schema.enums["BaseEnum"]
+    nations = w.source("terms").where("prefix = 'NATION'").select(F.col("curie").alias("value"))
+    cache.save(spec, nations.where("value like '%1'"), complete=False)
+    cache.save(spec, nations.where("value like '%2' or value like '%1'"), complete=False)
+    some = kept(cache.load(spec).withColumn("complete", F.lit(cache.is_complete(spec))))
+    cache.save(spec, nations.where("value like '%3'"), complete=True)
+    return some.union(cache.load(spec).withColumn("complete", F.lit(cache.is_complete(spec))))
+
+
+def _obo(w: Workload) -> tuple[DataFrame, DataFrame]:
+    """Regions and nations written as an OBO file and read again."""
+    links = w.source("edges").where("object like 'REGION:%'")
+    rows = w.source("terms").where("prefix in ('REGION', 'NATION')").join(links, F.col("curie") == F.col("subject"), "left")
+    isa = F.coalesce(F.concat(F.lit("\nis_a: "), F.col("object"), F.lit(" ! a region")), F.lit(""))
+    path = _saved(w, "obo")
+    rows.select(F.concat(F.lit("[Term]\nid: "), F.col("curie"), F.lit("\nname: "), F.col("label"), isa, F.lit("\n"))).coalesce(1).write.text(path)
+    return ontology.read_obo(w.spark, path)
+
+
+def obo_terms(w: Workload) -> DataFrame:
+    return _obo(w)[0]
+
+
+def obo_edges(w: Workload) -> DataFrame:
+    return _obo(w)[1]
+
+
+def snapshot_terms(w: Workload) -> DataFrame:
+    """Terms by an adapter string: a folder of Parquet files."""
+    path = _saved(w, "snapshot")
+    w.source("terms").select("curie", "label").write.parquet(f"{path}/terms.parquet")
+    w.source("edges").write.parquet(f"{path}/edges.parquet")
+    options = Options(adapters={"NATION": f"parquet:{path}", "REGION": ""})
+    return OntologyCatalog(w.spark, options).terms(["NATION", "REGION", "CUST"])
+
+
+def json_records(w: Workload) -> DataFrame:
+    """Nested records from JSON lines, with the types of all of them: a slot that is a list here and a text there is a list."""
+    path = _saved(w, "records") + ".jsonl"
+    parts = F.transform("items", lambda x: x["part"]["id"])
+    one, more = F.to_json(F.struct(F.element_at(parts, 1).alias("part"))), F.to_json(F.struct(parts.alias("part")))
+    held = F.when(F.col("items").isNull(), F.lit("null")).when(F.size("items") == 1, one).otherwise(more)
+    w.orders().select(F.concat(F.lit('{"order_id": "'), F.col("order_id"), F.lit('", "n": 1, "held": '), held, F.lit("}"))).write.text(path)
+    rows = read_data(w.spark, path)
+    return rows.select("order_id", F.explode("held.part").alias("part")).where("part is not null")
+
+
+def text_file_mentions(w: Workload) -> DataFrame:
+    """Mentions in a text file, with a pattern of one's own whose label comes first."""
+    path = _saved(w, "text")
+    key = F.col("n_nationkey").cast("string")
+    w.table("nation").select(F.concat(F.col("n_name"), F.lit("=NATION:"), key, F.lit(" and more"))).coalesce(1).write.text(path)
+    return mentions.mentions(read_text(w.spark, path), r"([^=]+)=(NATION:\d+)", 2, 1).select("curie", "label")
+
+
+def static_enum_violations(w: Workload) -> DataFrame:
+    values = paths.slot_values(w.orders(), w.schema, "Order", False, F.col("order_id"))
+    return _shown(checks.direct_static_violations(values, w.static(list(w.schema.enums)))).select("instance_id", "severity", "message", "context")
+
+
+def direct_enum_progressive(w: Workload) -> DataFrame:
+    """The default evaluation: membership is asked for the values that occur, and the size of the enumeration isn't known."""
+    values = kept(paths.slot_values(w.orders(), w.schema, "Order", instance_id=F.col("order_id")))
+    members = w.compiler().table(["PriorityEnum"], values, "progressive")
+    return _shown(checks.direct_enum_violations(values, members)).select("instance_id", "severity", "message", "context")
+
+
+def binding_enum_progressive(w: Workload) -> DataFrame:
+    bound, dynamic = kept(w.bound()), ["PartEnum", "SupplierEnum"]
+    members = w.compiler().table(dynamic, bound.where("value_is_string"), "progressive").union(w.static(["StatusEnum"]))
+    kinds = w.spark.createDataFrame([(n, w.schema.enums[n].dynamic) for n in [*dynamic, "StatusEnum"]], "enum_name string, dynamic boolean")
+    return _shown(checks.binding_enum_violations(bound, members, kinds)).select("instance_id", "path", "severity", "message", "context")
+
+
+def enum_matches(w: Workload) -> DataFrame:
+    return EnumCompiler(w.catalog(), w.schema.enums, match_patterns=True).expand("PatternEnum")
+
+
 def curie_prefix(w: Workload) -> DataFrame:
     key = F.col("o_orderkey")
     text = key.cast("string")
@@ -295,10 +433,7 @@ def cache_last_wins(w: Workload) -> DataFrame:
 
 def sorted_snapshot(w: Workload) -> DataFrame:
     """Each snapshot's order: the rows are numbered as they are written."""
-    from pyspark.sql import Window
-
-    rows = migrate.latest(w.source("cache"))
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("curie")).alias("place"), "curie", "label")
+    return migrate.placed(migrate.latest(w.source("cache")).select("file", "curie", "label")).select("file", "place", "curie", "label")
 
 
 def cache_needs_rewrite(w: Workload) -> DataFrame:
@@ -317,8 +452,10 @@ _FUNCTIONS = {
         binding_enum_violations, term_not_found, binding_label_mismatch, schema_meaning_issues, plugin_meaning_issues, text_pair_issues, required_binding_missing,
         closure_descendants, closure_ancestors, closure_membership, closure_multi_source, closure_multi_predicate, enum_progressive, schema_counters, issue_counts, issues_per_file,
         cache_dedup_latest, cache_last_wins, sorted_snapshot, cache_needs_rewrite, cache_relabel,
+        prefix_routing, config_booleans, label_cache_upsert, label_cache_files, enum_cache_append, obo_terms, obo_edges, snapshot_terms, json_records,
+        text_file_mentions, static_enum_violations, direct_enum_progressive, binding_enum_progressive, enum_matches,
     )
-} | {"enum_union": _expanded("BaseEnum"), "enum_include": _expanded("IncludeEnum"), "enum_minus": _expanded("MinusEnum"), "enum_inherits": _expanded("HeirEnum"), "enum_expand_full": _expanded("FullEnum")}
+} | {"enum_union": _expanded("UnionEnum"), "enum_include": _expanded("IncludeEnum"), "enum_minus": _expanded("MinusEnum"), "enum_inherits": _expanded("HeirEnum"), "enum_expand_full": _expanded("FullEnum")}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, f=f: f(Workload(spark, sf_dir))) for name, f in _FUNCTIONS.items()}
 
@@ -442,7 +579,27 @@ FROM named WHERE actual_label IS NULL OR (len(given) > 0 AND NOT list_contains(n
     "closure_membership": "SELECT query_id, node AS value FROM (" + _closure([(0, "REGION:0", False), (1, "NATION:1", False), (1, "NATION:2", False), (2, "CUST:1", True)]) + ") WHERE node IN (SELECT 'CUST:' || o_custkey FROM orders)",
     "closure_multi_source": _closure([(0, "NATION:1", False), (0, "NATION:6", False), (0, "REGION:1", False)]),
     "closure_multi_predicate": _closure([(0, "BRAND:Brand#1", False), (0, "PTYPE:SMALL", False)], (SUBCLASS, PART_OF)),
-    "enum_union": f"WITH {_sources('edges')} {_BASE}",
+    "enum_union": f"WITH {_sources('edges')} SELECT value FROM {_below('REGION:3')} UNION SELECT value FROM {_below('NATION:1')} UNION SELECT value FROM {_listed('A:1', 'NATION:1', 'OWN', 'A:2')}",
+    "enum_matches": f"WITH {_sources('terms')} SELECT DISTINCT curie AS value FROM terms WHERE regexp_full_match(curie, 'NATION:1[0-9]')",
+    "prefix_routing": f"""WITH {_sources('items', 'terms')}, p AS (SELECT split_part(part_id, ':', 1) AS prefix FROM items WHERE part_id IS NOT NULL UNION SELECT prefix FROM terms)
+SELECT prefix, CASE WHEN prefix IN (SELECT prefix FROM {_CONFIGURED}) THEN 'memory:' END AS mapped, 'sqlite:obo:' || lower(prefix) AS default_adapter FROM p""",
+    "config_booleans": "SELECT * FROM (VALUES ('yes, in YAML', true), ('false, in YAML', false), (' True ', true), ('FALSE', false), ('1', NULL), ('on', NULL), ('none', NULL)) AS v(written, value)",
+    "label_cache_upsert": """SELECT 'CUST:' || c_custkey AS curie, c_name || CASE WHEN c_custkey % 10 = 1 THEN chr(10) || '"new"' ELSE '' END AS label,
+       CASE WHEN c_custkey % 10 IN (1, 4) THEN '2025-02-02' ELSE '2025-01-01' END AS retrieved_at FROM customer WHERE c_custkey % 7 = 0""",
+    "label_cache_files": f"WITH {_sources('terms')} SELECT curie, label, '2025-01-01' AS retrieved_at FROM terms WHERE prefix IN ('NATION', 'REGION')",
+    "enum_cache_append": "SELECT 'NATION:' || n_nationkey AS value, n_nationkey % 10 = 3 AS complete FROM nation WHERE n_nationkey % 10 IN (1, 2, 3)",
+    "obo_terms": f"WITH {_sources('terms')} SELECT * FROM terms WHERE prefix IN ('NATION', 'REGION')",
+    "obo_edges": f"WITH {_sources('edges')} SELECT * FROM edges WHERE subject LIKE 'NATION:%' AND object LIKE 'REGION:%'",
+    "snapshot_terms": f"WITH {_sources('terms')} SELECT * FROM terms WHERE prefix = 'NATION'",
+    "json_records": f"WITH {_sources('items')} SELECT 'ORDER:' || l_orderkey AS order_id, part_id AS part FROM items JOIN orders ON l_orderkey = o_orderkey WHERE part_id IS NOT NULL",
+    "text_file_mentions": "SELECT 'NATION:' || n_nationkey AS curie, n_name AS label FROM nation",
+    "static_enum_violations": "SELECT 'ORDER:' || o_orderkey AS instance_id, 'ERROR' AS severity, 'Value ''' || o_orderstatus || ''' not in enum ''StatusListEnum''' AS message, 'slot: state|enum: StatusListEnum' AS context FROM orders WHERE o_orderstatus <> 'O'",
+    "direct_enum_progressive": "SELECT 'ORDER:' || o_orderkey AS instance_id, 'ERROR' AS severity, 'Value ''' || o_orderpriority || ''' not in dynamic enum ''PriorityEnum'' (expanded from ontology)' AS message, 'slot: priority|enum: PriorityEnum' AS context FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')",
+    "binding_enum_progressive": f"""WITH RECURSIVE {_sources('items', 'edges', 'terms')}, {_BOUND}, {_members(('PartEnum', 'PTYPE:SMALL'), ('PartEnum', 'PTYPE:LARGE'), ('PartEnum', 'PTYPE:PROMO'), ('SupplierEnum', 'REGION:0'), ('SupplierEnum', 'REGION:1'), ('SupplierEnum', 'REGION:2'))},
+members AS (SELECT enum_name, node AS value FROM reach WHERE node IN (SELECT curie FROM terms WHERE label <> '') UNION SELECT 'StatusEnum', unnest(['O', 'F']))
+SELECT instance_id, path, 'ERROR' AS severity, 'Value ''' || value || ''' not in ' || CASE enum_name WHEN 'StatusEnum' THEN 'enum ''StatusEnum''' ELSE 'dynamic enum ''' || enum_name || ''' (expanded from ontology)' END AS message,
+       {_WHERE} || '|field: ' || field || CASE enum_name WHEN 'StatusEnum' THEN '|allowed_values: 2 terms' ELSE '' END AS context
+FROM bound b WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM members m WHERE m.enum_name = b.enum_name AND m.value = b.value)""",
     "enum_include": f"WITH {_sources('edges')} SELECT value FROM {_listed('A:1', 'A:2', 'P_ONE', 'A:3')} UNION SELECT value FROM {_below('REGION:1')}",
     "enum_minus": f"WITH {_sources('edges')} (SELECT value FROM {_below('REGION:2')} UNION SELECT 'REGION:2') EXCEPT SELECT value FROM {_below('NATION:2')} EXCEPT SELECT 'NATION:7'",
     "enum_inherits": f"WITH {_sources('edges')} {_HEIR}",

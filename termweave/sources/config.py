@@ -7,16 +7,20 @@ from dataclasses import dataclass, field
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_ADAPTER = "sqlite:obo:"
 
 
+#: What a configuration may write for a switch.
+SWITCH = {True: True, False: False, "true": True, "false": False}
+
+
 def as_bool(value: object, name: str) -> bool:
-    if isinstance(value, bool):
-        return value
-    if isinstance(value, str) and value.strip().lower() in ("true", "false"):
-        return value.strip().lower() == "true"
-    raise ValueError(f"{name} must be a boolean or 'true'/'false', got: {value!r}")
+    known = value.strip().lower() if isinstance(value, str) else value
+    if isinstance(known, (bool, str)) and known in SWITCH:
+        return SWITCH[known]
+    raise ValueError(f"setting {name} is neither true nor false: {value!r}")
 
 
 @dataclass
@@ -36,7 +40,8 @@ class Options:
     def __post_init__(self) -> None:
         raw = read_config(self.config_path)
         if raw is not None:
-            self.adapters = {str(k): str(v or "") for k, v in (raw.get("ontology_adapters") or {}).items()}
+            if mapping := raw.get("ontology_adapters"):
+                self.adapters = {str(k): str(v or "") for k, v in mapping.items()}
             for name in ("cache_enum_expansions", "saturate_enum_caches"):
                 if name in raw:
                     setattr(self, name, as_bool(raw[name], name))
@@ -57,8 +62,8 @@ class Options:
         return bool((self.adapters or {}).get(prefix or ""))
 
     def adapter_for(self, prefix: str | None) -> str | None:
-        """With a configuration only its entries count (an empty one switches a prefix off). Without one, the default adapter
-        takes the lower-cased prefix; any other adapter string answers for nothing."""
+        """With a mapping only its entries count (an empty one switches a prefix off). Without one, or if the configuration sets other
+        things only, the default adapter takes the lower-cased prefix; any other adapter string answers for nothing."""
         if not prefix:
             return None
         if self.adapters is not None:
@@ -71,6 +76,15 @@ class Options:
         return spark.createDataFrame(rows, "prefix string, adapter string, configured boolean")
 
 
+    def routes(self, prefixes: DataFrame) -> DataFrame:
+        """The rows of prefixes (prefix, ...) with the adapter that answers for each, or null."""
+        if self.adapters is not None:
+            known = self.prefixes(prefixes.sparkSession).where("configured").select("prefix", "adapter")
+            return prefixes.join(F.broadcast(known), "prefix", "left")
+        default = F.concat(F.lit(DEFAULT_ADAPTER), F.lower("prefix")) if self.adapter == DEFAULT_ADAPTER else F.lit(None).cast("string")
+        return prefixes.withColumn("adapter", F.when(F.col("prefix") != "", default))
+
+
 def read_config(path: str | None) -> dict | None:
     """The adapter file's content; None where there is no such file."""
     if not path or not os.path.exists(path):

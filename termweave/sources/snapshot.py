@@ -1,18 +1,16 @@
 """Snapshots of labels and enumerations: sorted CSV files that make a validation repeatable offline.
 
-Only the driver's process writes them, under a lock, by writing beside the target and renaming.
+Only the driver writes them, under a lock, beside the target, and then puts them in its place. A folder without a scheme lies on
+the driver's machine if that is Spark's default file system; executors on other machines need a shared one.
 """
 
 from __future__ import annotations
 
-import fcntl
-import glob
+import csv
+import io
 import os
 import re
-import shutil
-import time
-import uuid
-from contextlib import contextmanager
+from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
@@ -22,64 +20,57 @@ from pyspark.sql import functions as F
 from termweave.operators import migrate
 from termweave.operators.enums import fingerprint
 from termweave.sources.schema import EnumSpec
+from termweave.sources.storage import Files, kept
 
 LABELS = "curie string, label string, retrieved_at string"
 LOCK_SECONDS = 30.0
+#: Rows that are written at once.
+ROWS = 10_000
 
 
-@contextmanager
-def locked(path: str, timeout: float = LOCK_SECONDS):
-    """Holds the lock file beside path; TimeoutError if another process holds it too long."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path + ".lock", "w") as f:
-        until = time.monotonic() + timeout
-        while True:
-            try:
-                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-                break
-            except OSError as held:
-                if time.monotonic() >= until:
-                    raise TimeoutError(f"{path} is locked by another process") from held
-                time.sleep(0.05)
-        yield
+def _csv(rows: DataFrame) -> Iterator[bytes]:
+    """A header and the rows in order of curie, LF at line ends. The driver holds one partition at a time."""
+    text = io.StringIO()
+    out = csv.writer(text, lineterminator="\n")
+    out.writerow(rows.columns)
+    for n, row in enumerate(rows.orderBy("curie").toLocalIterator(), 1):
+        out.writerow(["" if x is None else x for x in row])
+        if n % ROWS == 0:
+            yield text.getvalue().encode()
+            text.seek(0)
+            text.truncate()
+    yield text.getvalue().encode()
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One sorted CSV file with a header and LF line ends, put in place at once."""
-    staged = os.path.join(os.path.dirname(path) or ".", f".{os.path.basename(path)}.{uuid.uuid4().hex}")
-    df.coalesce(1).sortWithinPartitions("curie").write.option("header", True).option("lineSep", "\n").option("escape", '"').option("emptyValue", "").option("nullValue", "").csv("file://" + os.path.abspath(staged))
-    try:
-        (part,) = glob.glob(os.path.join(glob.escape(staged), "part-*.csv")) or [None]
-        if part is None:
-            part = os.path.join(staged, "empty")
-            with open(part, "w", encoding="utf-8", newline="\n") as f:
-                f.write(",".join(df.columns) + "\n")
-        os.replace(part, path)
-    finally:
-        shutil.rmtree(staged, ignore_errors=True)
+    """One sorted CSV file with a header and LF line ends, put in place at once. Values may hold line breaks."""
+    Files(df.sparkSession).put(path, _csv(df))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All rows in file order, as row_no; columns that the file lacks are null."""
-    found = spark.read.option("header", True).option("escape", '"').csv("file://" + os.path.abspath(path))
+    found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(Files(spark).uri(path))
     wanted = [c.split()[0] for c in schema.split(", ")]
-    return found.select(*(F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in wanted), F.monotonically_increasing_id().alias("row_no"))
+    columns = (F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in wanted)
+    return found.select(*columns, F.monotonically_increasing_id().alias("row_no"))
 
 
 class LabelCache:
     """<folder>/<prefix in lower case>/terms.csv with curie, label and retrieved_at."""
 
-    def __init__(self, spark: SparkSession, folder: str, enabled: bool = True):
-        self.spark, self.folder, self.enabled = spark, folder, enabled
+    def __init__(self, spark: SparkSession, folder: str, enabled: bool = True, lock_seconds: float = LOCK_SECONDS):
+        self.spark, self.folder, self.enabled, self.files, self.lock_seconds = spark, folder, enabled, Files(spark), lock_seconds
 
     def path(self, prefix: str) -> str:
         return os.path.join(self.folder, prefix.lower(), "terms.csv")
 
+    def _rows(self, path: str, name: str) -> DataFrame:
+        rows = read_csv(self.spark, path, LABELS) if self.files.exists(path) else self.spark.createDataFrame([], LABELS + ", row_no long")
+        return rows.select(F.lit(name).alias("file"), "row_no", "curie", "label", F.coalesce("retrieved_at", F.lit("")).alias("retrieved_at"))
+
     def rows(self, prefix: str) -> DataFrame:
         """Every row as written: (file, row_no, curie, label, retrieved_at), a missing time as empty text."""
-        path = self.path(prefix)
-        rows = read_csv(self.spark, path, LABELS) if os.path.exists(path) else self.spark.createDataFrame([], LABELS + ", row_no long")
-        return rows.select(F.lit(prefix).alias("file"), "row_no", "curie", "label", F.coalesce("retrieved_at", F.lit("")).alias("retrieved_at"))
+        return self._rows(self.path(prefix), prefix)
 
     def load(self, prefixes: list[str]) -> DataFrame:
         """(curie, label, retrieved_at); of repeated curies the last row counts. Nothing if the cache is off."""
@@ -91,48 +82,53 @@ class LabelCache:
         if not self.enabled:
             return
         now = now or datetime.now().isoformat()
-        with locked(self.path(prefix)):
+        with self.files.locked(self.path(prefix), self.lock_seconds):
             old = self.load([prefix])
             new = labels.where("label is not null").groupBy("curie").agg(F.min("label").alias("new_label"))
             same = F.col("new_label").isNull() | F.col("new_label").eqNullSafe(F.col("label"))
-            merged = old.join(new, "curie", "full_outer").select("curie", F.coalesce("new_label", "label").alias("label"), F.when(same, F.col("retrieved_at")).otherwise(F.lit(now)).alias("retrieved_at"))
+            time = F.when(same, F.col("retrieved_at")).otherwise(F.lit(now)).alias("retrieved_at")
+            merged = old.join(new, "curie", "full_outer").select("curie", F.coalesce("new_label", "label").alias("label"), time)
             write_csv(merged, self.path(prefix))
 
-    def migrate(self, terms_of=None, sort_only: bool = False, dry_run: bool = False, now: str | None = None) -> list[dict]:
-        """Rewrites the files that have repeated or stale rows or the wrong order; a report for each file. terms_of(curies) gives fresh labels."""
-        reports = []
-        for path in sorted(glob.glob(os.path.join(glob.escape(self.folder), "*", "terms.csv"))):
-            rows = read_csv(self.spark, path, LABELS).select(F.lit(path).alias("file"), "row_no", "curie", "label", F.coalesce("retrieved_at", F.lit("")).alias("retrieved_at"))
-            best, changes, fresh = migrate.latest(rows), [], None
+    def migrate(self, terms_of=None, sort_only: bool = False, dry_run: bool = False, now: str | None = None) -> Iterator[dict]:
+        """Rewrites the files that have repeated or stale rows or the wrong order; yields a report for each file.
+
+        terms_of(curies) gives fresh labels. changes in a report is a table (curie, old, label) or None.
+        """
+        for path in self.files.list(self.folder, "*/terms.csv"):
+            rows, changes, fresh = self._rows(path, path), None, None
+            best = migrate.latest(rows)
             if terms_of is not None and not sort_only:
-                fresh = migrate.relabelled(best, terms_of(best), now or datetime.now().isoformat())
+                fresh = kept(migrate.relabelled(best, terms_of(best), now or datetime.now().isoformat()))
                 old = best.select("curie", F.col("label").alias("old"))
-                changes = [tuple(r) for r in fresh.where("changed").join(old, "curie").select("curie", "old", "label").orderBy("curie").collect()]
+                changes = kept(fresh.where("changed").join(old, "curie").select("curie", "old", "label"))
             todo = migrate.plan(rows, fresh).head()
-            report = {"path": path, "rewrite": bool(todo and todo["needs_rewrite"]), "duplicates": todo["n_duplicates"] if todo else 0, "relabelled": len(changes), "changes": changes, "unsorted": bool(todo and todo["unsorted"])}
+            report = {
+                "path": path, "rewrite": bool(todo and todo["needs_rewrite"]), "duplicates": todo["n_duplicates"] if todo else 0,
+                "relabelled": changes.count() if changes is not None else 0, "changes": changes, "unsorted": bool(todo and todo["unsorted"]),
+            }
             if report["rewrite"] and not dry_run:
-                with locked(path):
+                with self.files.locked(path, self.lock_seconds):
                     write_csv((fresh if fresh is not None else best).select("curie", "label", "retrieved_at"), path)
-            reports.append(report)
-        return reports
+            yield report
 
 
 class EnumCache:
     """<folder>/enums/<name>_<fingerprint>.csv with one value a line; a sibling .complete marks the whole closure."""
 
-    def __init__(self, spark: SparkSession, folder: str, enabled: bool = True):
-        self.spark, self.folder, self.enabled = spark, folder, enabled
+    def __init__(self, spark: SparkSession, folder: str, enabled: bool = True, lock_seconds: float = LOCK_SECONDS):
+        self.spark, self.folder, self.enabled, self.files, self.lock_seconds = spark, folder, enabled, Files(spark), lock_seconds
 
     def path(self, spec: EnumSpec) -> str:
         return os.path.join(self.folder, "enums", re.sub(r"[^\w\-]", "_", spec.name.lower()) + f"_{fingerprint(spec)}.csv")
 
     def is_complete(self, spec: EnumSpec) -> bool:
-        return os.path.exists(self.path(spec) + ".complete")
+        return self.files.exists(self.path(spec) + ".complete")
 
     def load(self, spec: EnumSpec) -> DataFrame | None:
         """(value), or None if nothing is kept for this definition or the cache is off."""
         path = self.path(spec)
-        if not self.enabled or not os.path.exists(path):
+        if not self.enabled or not self.files.exists(path):
             return None
         return read_csv(self.spark, path, "curie string").select(F.col("curie").alias("value")).where("value is not null").distinct()
 
@@ -141,11 +137,10 @@ class EnumCache:
         if not self.enabled:
             return
         path = self.path(spec)
-        with locked(path):
+        with self.files.locked(path, self.lock_seconds):
             known = None if complete else self.load(spec)
             rows = values.select("value") if known is None else values.select("value").union(known)
-            if os.path.exists(path + ".complete"):
-                os.remove(path + ".complete")
+            self.files.remove(path + ".complete")
             write_csv(rows.where("value is not null").distinct().select(F.col("value").alias("curie")), path)
             if complete:
-                open(path + ".complete", "w").close()
+                self.files.put(path + ".complete", [])
