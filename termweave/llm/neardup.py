@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm.common import small, stored, text_of
-from termweave.llm.graph import components
+from termweave.llm.graph import components, join_spread
+
+#: Members of a large group with which all others are compared, and rows of one that a task compares at once.
+PIVOTS, BLOCK = 8, 2048
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -20,25 +25,27 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 class Index:
     """A signature of chunks * width symbols of 16 bits, and how it is looked up.
 
-    Two signatures that differ in at most radius symbols differ in at most `errors` symbols of some chunk
-    (pigeonhole: radius < chunks * (errors + 1)). So each chunk is entered once for each way to leave `errors` of
-    its symbols out, and equal entries find every pair within the radius. A symbol of two documents is equal with
-    probability of their Jaccard similarity at least: at 0.8, 16 of 80 symbols differ on average, and no chunk
-    finds the pair with probability (1 - 0.8**5 - 5 * 0.2 * 0.8**4)**16 < 1e-9; over 36 symbols differ with
-    probability 1.1e-7.
+    The distance of two signatures is the number of symbols in which they differ. Two within the radius differ in at
+    most `errors` symbols of some chunk (pigeonhole: radius < chunks * (errors + 1)). So each chunk is entered once for
+    each way to leave `errors` of its symbols out, and equal entries find every pair within the radius, guaranteed.
+    Candidates are the pairs within the radius and no others (but for symbols taken for equal by chance, below). A symbol
+    of two documents is equal with probability of their Jaccard similarity at least: at 0.8, 20 of 100 symbols differ on
+    average, and more than 39 do with probability 3.6e-6.
     """
 
-    chunks: int = 16
+    chunks: int = 20
     width: int = 5
     errors: int = 1
     seed: int = 9
-    #: Symbols beyond the radius in which a pair that was looked up may differ and still be confirmed on whole sets.
-    slack: int = 5
 
     @property
     def symbols(self) -> int:
         return self.chunks * self.width
 
+    @property
+    def entries(self) -> int:
+        return self.chunks * comb(self.width, self.errors)
+
     @property
     def radius(self) -> int:
         return self.chunks * (self.errors + 1) - 1
@@ -80,9 +87,9 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (_mixed(low) >> np.uint64(48)).astype("<u2")
 
 
-def _node(words: list[bytes]) -> int | None:
-    """A signed 64-bit name of the word sequence; null without words."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63 if words else None
+def _node(hashes: np.ndarray) -> str | None:
+    """A 128-bit name of a set of shingles; null if it is empty."""
+    return xxhash.xxh3_128_hexdigest(hashes.astype("<u8").tobytes()) if len(hashes) else None
 
 
 def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -97,9 +104,9 @@ def _sketch(batches, n: int, index: Index):
             words = words_of(text.as_py())
             s = shingles(words, n)
             counts.append(len(s))
-            nodes.append(_node(words))
+            nodes.append(_node(s))
             signatures.append(signature(s, a, b).tobytes() if words else None)
-        yield _batch({"doc_id": batch.column(0), "n_shingles": pa.array(counts, pa.int64()), "node": pa.array(nodes, pa.int64()), "signature": pa.array(signatures, pa.binary())})
+        yield _batch({"doc_id": batch.column(0), "n_shingles": pa.array(counts, pa.int64()), "node": pa.array(nodes, pa.string()), "signature": pa.array(signatures, pa.binary())})
 
 
 def _entries(batches, index: Index):
@@ -122,7 +129,9 @@ def _entries(batches, index: Index):
 
 
 class _Forest:
-    """The groups that links make of the nodes of a task."""
+    """The groups that links make of the nodes of a task, of MOST_NODES at once: more are handed on in parts."""
+
+    MOST_NODES = 300_000
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -144,6 +153,12 @@ class _Forest:
             part = nodes[at : at + 50_000]
             yield _batch({"a": pa.array([self.root(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
 
+    def full(self):
+        """stars(), and a new start, if there are too many nodes."""
+        if len(self.up) > self.MOST_NODES:
+            yield from self.stars()
+            self.up = {}
+
 
 def _groups(batches, by: int):
     """Tables of whole groups (equal in the first `by` columns) from a sorted stream; a group may span batches."""
@@ -187,6 +202,7 @@ def _near(batches, radius: int):
                 _unite(parent, place[close], place[close + d])
         for x in np.flatnonzero(parent != np.arange(len(names))).tolist():
             forest.join(int(names[x]), int(names[parent[x]]))
+        yield from forest.full()
     yield from forest.stars()
 
 
@@ -230,6 +246,7 @@ def _confirm(batches, percent: int):
             _unite(parent, *np.nonzero(np.triu(linked, 1)))
             for x in np.flatnonzero(parent != np.arange(len(sets))).tolist():
                 forest.join(nodes[first + x], nodes[first + int(parent[x])])
+        yield from forest.full()
     yield from forest.stars()
 
 
@@ -237,62 +254,181 @@ def _sets(batches, n: int):
     for batch in batches:
         nodes, sets = [], []
         for text in batch.column(0):
-            words = words_of(text.as_py())
-            if words:
-                nodes.append(_node(words))
-                sets.append(shingles(words, n).astype("<u8").tobytes())
-        yield _batch({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(sets, pa.binary())})
+            found = shingles(words_of(text.as_py()), n)
+            if len(found):
+                nodes.append(_node(found))
+                sets.append(found.astype("<u8").tobytes())
+        yield _batch({"node": pa.array(nodes, pa.string()), "shingles": pa.array(sets, pa.binary())})
+
+
+@dataclass(frozen=True)
+class Metric:
+    """How payloads are compared: a distance that keeps to the triangle inequality, up to which of it two are linked, and in bulk.
+
+    Groups of up to `whole` members meet in blocks of `block`, each two blocks once; larger ones by way of pivots.
+    """
+
+    distances: Callable[[list[bytes], list[bytes]], np.ndarray]
+    limit: float
+    links: Callable
+    whole: int
+    block: int
 
 
-def _meetings(rows: DataFrame, group: str, payload: str, least: int, most: int, ways: int) -> DataFrame:
-    """Splits groups (column n: their size) into blocks and brings each two blocks of a group together once, sorted.
+def _symbols_differ(rows: list[bytes], pivots: list[bytes]) -> np.ndarray:
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (rows, pivots))
+    return np.column_stack([np.count_nonzero(a != p, axis=1) for p in b]).astype(np.float64)
 
-    A group has one block for each `least` rows, up to `ways` blocks, and more only as a block would exceed `most` rows: rows
-    are copied as often as their group has blocks.
+
+def _jaccard_distances(rows: list[bytes], pivots: list[bytes]) -> np.ndarray:
+    """1 - intersection / union of sorted sets of hashes."""
+    out, sets = np.zeros((len(rows), len(pivots))), [np.frombuffer(p, "<u8") for p in pivots]
+    for i, row in enumerate(rows):
+        mine = np.frombuffer(row, "<u8")
+        for j, other in enumerate(sets):
+            at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+            both = int(np.count_nonzero(other[at] == mine))
+            out[i, j] = 1 - both / (len(mine) + len(other) - both)
+    return out
+
+
+def _meetings(rows: DataFrame, metric: Metric) -> DataFrame:
+    """(grp, i, j, node, payload): splits groups of n members into blocks and brings each two blocks of a group together once, sorted."""
+    met = rows.withColumn("blocks", F.ceil(F.col("n") / metric.block).cast("int"))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("grp", F.least("mine", "other").cast("long").alias("i"), F.greatest("mine", "other").cast("long").alias("j"), "node", "payload")
+    return met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+
+def _to_pivots(rows: pa.Table, pivots: pa.Table, metric: Metric) -> pa.Table:
+    """Of each row its distance to each pivot of its group (far beyond any for a place without one), and the pivots it is linked to."""
+    schema = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("far", pa.list_(pa.float64())), ("met", pa.list_(pa.int64()))])
+    if not len(rows) or not len(pivots):
+        return schema.empty_table()
+    pivots = pivots.sort_by("slot")
+    names = pivots["pivot"].to_numpy()
+    far = metric.distances(rows["payload"].to_pylist(), pivots["held"].to_pylist())
+    met = [names[np.flatnonzero(x <= metric.limit + 1e-9)].tolist() for x in far]
+    padded = np.zeros((len(far), PIVOTS))
+    padded[:, : far.shape[1]] = far
+    return pa.table([rows["grp"], rows["node"], pa.array(padded.tolist(), pa.list_(pa.float64())), pa.array(met, pa.list_(pa.int64()))], schema=schema)
+
+
+def _linked(rows: DataFrame, sizes: DataFrame, metric: Metric) -> DataFrame:
+    """Links (a, b) among the members of each group, as stars: rows (grp, node, payload), a node once in a group; sizes (grp, n), stored.
+
+    The components that the links make are those of all pairs within metric.limit. Small groups meet as a whole. A
+    large one is compared with PIVOTS of its members, chosen by hash, in as many tasks as it takes; what is within the
+    limit of one pivot is one cluster and needn't meet. The rest, and clusters among each other, meet in blocks
+    of alike distances from the pivots, and by the triangle inequality only those blocks meet whose distances from
+    every pivot leave room for a link. So a group of near copies is walked through once, and the rows that meet
+    grow with the pairs that only their sets can tell apart.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(ways), F.ceil(F.col("n") / least))).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    met = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(group, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", payload)
-    return met.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+    n_rows = sizes.agg(F.sum("n")).head()[0] or 0
+    rows = join_spread(rows, sizes, "grp", "node", n_rows, counts=sizes)
+    links = [_meetings(rows.where(F.col("n") <= metric.whole), metric).mapInArrow(metric.links, "a long, b long")]
+    if not sizes.where(F.col("n") > metric.whole).take(1):
+        return links[0]
+    large = stored(rows.where(F.col("n") > metric.whole))
+    slot = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS)).cast("int").alias("slot")
+    chosen = large.groupBy("grp", slot).agg(F.min_by(F.struct("node", "payload"), F.xxhash64("node", F.lit(4))).alias("p"))
+    chosen = stored(chosen.select("grp", "slot", F.col("p.node").alias("pivot"), F.col("p.payload").alias("held")))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = large.select("grp", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int").alias("part"), "node", "payload")
+    sent = chosen.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "slot", "pivot", "held")
+    far = dealt.groupBy("grp", "part").cogroup(sent.groupBy("grp", "part"))
+    far = stored(far.applyInArrow(lambda r, p: _to_pivots(r, p, metric), "grp long, node long, far array<double>, met array<long>"))
+
+    first = F.col("met")[0]
+    links.append(far.where(F.size("met") > 0).select(first.alias("a"), F.col("node").alias("b")))
+    between = stored(far.where(F.size("met") > 1).select(first.alias("a"), F.explode("met").alias("b")).distinct())
+    links.append(between)
+    clusters = components(between).select(F.col("node").alias("pivot"), "label")
+    placed = join_spread(far.withColumn("pivot", F.get("met", F.lit(0))), clusters, "pivot", "node", n_rows, "left")
+    placed = placed.select("grp", "node", "far", F.coalesce("label", "pivot").alias("cluster"))
+    # Groups that are one cluster are done.
+    open_ = placed.groupBy("grp").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count_if(F.col("cluster").isNull()).alias("loose"))
+    open_ = stored(open_.where("loose > 0 or x < y").select("grp"))
+    placed = join_spread(placed, open_, "grp", "node", n_rows, counts=sizes)
+
+    nearest = F.array_min("far")
+    ring = F.floor(nearest / metric.limit * 4)
+    cell = F.xxhash64("grp", F.coalesce("cluster", F.lit(-1)), F.array_position("far", nearest), ring).alias("cell")
+    placed = stored(placed.select("grp", "cluster", "node", "far", cell))
+    in_cell = stored(placed.groupBy("cell").agg(F.count("*").alias("n")))
+    placed = join_spread(placed, in_cell, "cell", "node", n_rows, counts=in_cell)
+    block = F.xxhash64("cell", F.pmod(F.xxhash64("node", F.lit(6)), F.ceil(F.col("n") / BLOCK))).alias("block")
+    placed = stored(placed.select("grp", "cluster", "node", "far", block))
+    ends = [f(F.col("far")[i]).alias(f"{name}{i}") for i in range(PIVOTS) for name, f in (("lo", F.min), ("hi", F.max))]
+    blocks = stored(placed.groupBy("grp", "block", "cluster").agg(*ends))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    room = F.lit(True)
+    for i in range(PIVOTS):
+        for p, q in (("x", "y"), ("y", "x")):
+            room = room & (F.col(f"{p}.lo{i}") - F.col(f"{q}.hi{i}") <= metric.limit + 1e-9)
+    apart = F.coalesce(F.col("x.cluster") != F.col("y.cluster"), F.lit(True))
+    pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.block") <= F.col("y.block")) & apart & room)
+    pairs = stored(pairs.select(F.col("x.grp").alias("grp"), F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct())
+    members = pairs.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    met = placed.select("grp", "block", "node").join(members, ["grp", "block"]).select("grp", "i", "j", "node")
+    met = met.join(large.select("grp", "node", "payload"), ["grp", "node"]).select("grp", "i", "j", "node", "payload")
+    met = met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    links.append(met.mapInArrow(metric.links, "a long, b long"))
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, index: Index = Index(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, n: int = 5, percent: int = 80, index: Index = Index(), key: str = "doc_id", text: str = "text", with_sets: bool = False
+) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is component_id).
 
-    Two documents are linked if 100 * intersection >= percent * union of their sets of n-word shingles. Equal word
-    sequences are one node. Signatures find candidates (see Index); whole sets, recomputed from whole texts,
-    decide. A task emits its links as stars, one link for each node beyond the first of a group, which leaves
-    components as they are; large buckets and candidate groups are split into pairs of blocks.
+    Two documents are linked if 100 * intersection >= percent * union of their sets of n-word shingles. Equal sets are
+    one node. Signatures find candidates (see Index); whole sets, recomputed from whole texts, decide. A task emits its
+    links as stars, one link for each node beyond the first of a group, which leaves components as they are (see _linked).
+
+    Shingles are named by 64-bit hashes, sets by 128-bit ones. Null and blank texts have no shingles and are linked with
+    nothing, not even each other; texts shorter than n words are one shingle; very long texts are read whole; repeated
+    rows are linked; a null key is never the smallest unless a component has no other, and its rows are then kept; other
+    columns aren't looked at; an empty table gives an empty one.
 
-    Shingles and nodes are named by 64-bit hashes. Null and blank texts have no shingles and are linked with
-    nothing, not even each other; texts shorter than n words are one shingle; repeated rows are linked; a null
-    key is never the smallest unless a component has no other, and its rows are then kept; other columns
-    aren't looked at; an empty table gives an empty one.
+    with_sets: adds set, the 128-bit name of the row's set (null without shingles), and leads, whether that is the set of
+    the row that names the component (of several such sets the least).
     """
     texts = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    sketches = stored(texts.mapInArrow(lambda b: _sketch(b, n, index), "doc_id long, n_shingles long, node long, signature binary"))
-    classes = stored(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature")))
+    sketches = stored(texts.mapInArrow(lambda b: _sketch(b, n, index), "doc_id long, n_shingles long, node string, signature binary"))
+    classes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature"))
+    # Short names, fixed once they are written.
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
 
-    entries = classes.select("node", "signature").mapInArrow(lambda b: _entries(b, index), "entry long, node long")
+    entries = classes.select("id", "signature").mapInArrow(lambda b: _entries(b, index), "entry long, node long")
     shared = entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(entries.join(shared, "entry"))
+    shared = stored(shared)
+    n_entries = classes.count() * index.entries
+    members = stored(join_spread(entries, shared, "entry", "node", n_entries, counts=shared).select("entry", "node"))
+    # Of a symbol its low byte: other symbols are taken for equal once in 256 times, which only adds candidates.
     low_bytes = F.expr(f"concat({', '.join(f'substring(signature, {2 * i + 1}, 1)' for i in range(index.symbols))})")
-    members = members.join(classes.select("node", low_bytes.alias("symbols")), "node")
-    close = _meetings(members, "entry", "symbols", 512, 2048, 8).mapInArrow(lambda b: _near(b, index.radius + index.slack), "a long, b long")
-    groups = components(close)
+    members = members.join(classes.select(F.col("id").alias("node"), low_bytes.alias("payload")), "node").withColumnRenamed("entry", "grp")
+    alike = Metric(_symbols_differ, index.radius, lambda b: _near(b, index.radius), 4096, 2048)
+    groups = components(_linked(members, shared.withColumnRenamed("entry", "grp"), alike))
 
-    sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = stored(groups.join(sizes, "label").join(classes.select("node", "first"), "node"))
+    wanted = stored(groups.join(classes.select(F.col("id"), "node", "first"), F.col("id") == groups["node"]).select("label", "id", classes["node"], "first"))
     ids = small(stored(wanted.groupBy("first").agg(F.count("*").alias("n")).select(F.col("first").alias("wanted_id"))))
-    whole = texts.join(ids, texts.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(lambda b: _sets(b, n), "node long, shingles binary")
-    whole = stored(whole.groupBy("node").agg(F.min("shingles").alias("shingles")).join(wanted.select("node", "label", "n"), "node"))
-    links = _meetings(whole, "label", "shingles", 128, 2048, 16).mapInArrow(lambda b: _confirm(b, percent), "a long, b long")
-    found = components(links).withColumnRenamed("label", "component")
-
-    lowest = stored(classes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    names = lowest.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = lowest.join(names, "component").select("node", "component_id")
+    whole = texts.join(ids, texts.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(lambda b: _sets(b, n), "node string, shingles binary")
+    whole = whole.groupBy("node").agg(F.min("shingles").alias("payload")).join(wanted.select("node", "label", "id"), "node")
+    whole = stored(whole.select(F.col("label").alias("grp"), F.col("id").alias("node"), "payload"))
+    confirmed = Metric(_jaccard_distances, 1 - percent / 100, lambda b: _confirm(b, percent), 512, 256)
+    sizes = stored(whole.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
+    found = components(_linked(whole, sizes, confirmed)).select(F.col("node").alias("id"), F.col("label").alias("component"))
+
+    lowest = stored(classes.select("id", "node", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    names = lowest.groupBy("component").agg(F.min("first").alias("component_id"), F.min_by("node", F.struct(F.col("first").isNull(), "first", "node")).alias("leader"))
+    named = lowest.join(names, "component").select("node", "component_id", (F.col("node") == F.col("leader")).alias("leads"))
     out = sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("node").alias("set"), "leads")
+    return out if with_sets else out.drop("set", "leads")

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from termweave.llm import neardup
 from termweave.llm.graph import components
 
@@ -68,17 +71,89 @@ def got_rows(df):
     return [tuple(r) for r in neardup.near_duplicates(df, n=4).collect()]
 
 
-def test_large_groups_are_split(spark):
-    """Blocks of two rows: every pair of blocks still meets."""
+def near_copies(rng, base, n, words=120):
+    out = []
+    for i in range(n):
+        copy = list(base)
+        copy[rng.randrange(words)] = f"x{i}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_large_groups_go_by_pivots(spark, monkeypatch):
+    """Groups of every size above ten by way of pivots, in blocks of four: clusters that chains join, and texts between them."""
+    metric = neardup.Metric
+    monkeypatch.setattr(neardup, "Metric", lambda d, limit, links, whole, block: metric(d, limit, links, 10, 4))
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 3)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(120)]
-    rows = []
-    for i in range(60):
-        copy = list(base)
-        copy[rng.randrange(120)] = f"x{i}"
-        rows.append((i, " ".join(copy)))
+    texts = near_copies(rng, base, 40)
+    # Steps of nine words stay linked with the one before, steps of thirteen are candidates that aren't.
+    for at in (9, 18, 27, 40, 53, 62, 75, 88, 101, 114):
+        away = [f"v{i}" if i < at else w for i, w in enumerate(base)]
+        texts += [" ".join(away), *near_copies(rng, away, rng.choice([0, 3, 12]))]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(df, n=4) == brute(rows)
+    want = brute(rows)
+    assert 3 < len({w[2] for w in want}) < 40 and got(df, n=4) == want
+
+
+def test_five_thousand_near_copies_are_walked_through_once(spark, monkeypatch):
+    met, real = [], neardup._confirm
+
+    def counted(batches, percent):
+        def seen():
+            for batch in batches:
+                met.append(len(batch))
+                yield batch
+
+        return real(seen(), percent)
+
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(90)]
+    rows = list(enumerate(near_copies(rng, base, 5000, 90) + [" ".join(rng.choices(base, k=90)) for _ in range(20)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = got(df, n=4)
+    assert sum(r[2] == 0 for r in out) == 5000 and sum(r[3] for r in out) == 21
+    # All are one cluster around the pivots, so none of them meet.
+    sets = [(0, i, neardup.shingles(neardup.words_of(t), 4).astype("<u8").tobytes()) for i, t in rows[:5000]]
+    links = neardup._linked(
+        spark.createDataFrame(sets, "grp long, node long, payload binary"),
+        spark.createDataFrame([(0, 5000)], "grp long, n long"),
+        neardup.Metric(neardup._jaccard_distances, 0.2, lambda b: counted(b, 80), 512, 256),
+    )
+    assert links.count() < 8 * 5000 and not met
+
+
+def test_distances_are_metrics():
+    rng = random.Random(7)
+    sets = [np.unique(np.array(rng.choices(range(60), k=rng.randint(1, 50)), "<u8")) for _ in range(25)]
+    far = neardup._jaccard_distances([s.tobytes() for s in sets], [s.tobytes() for s in sets])
+    plain = [[1 - len(set(a) & set(b)) / len(set(a) | set(b)) for b in map(list, sets)] for a in map(list, sets)]
+    assert np.allclose(far, plain) and all(far[i, k] <= far[i, j] + far[j, k] + 1e-9 for i in range(25) for j in range(25) for k in range(25))
+
+
+def test_all_signatures_within_the_radius_meet():
+    index, rng = neardup.Index(), np.random.default_rng(3)
+    for errors in (0, 20, index.radius):
+        a = rng.integers(0, 2**16, index.symbols, dtype=np.uint16)
+        for _ in range(50):
+            b = a.copy()
+            b[rng.choice(index.symbols, errors, replace=False)] ^= 1
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], names=["id", "signature"])
+            entries = [x for e in neardup._entries([batch], index) for x in e.column(0).to_pylist()]
+            assert len(set(entries)) < len(entries)
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    from termweave.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 5)
+    links = [(100, i) for i in range(40)] + [(40 + i, 100) for i in range(20)] + [(200, 201), (201, 202)]
+    out = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert out == {i: 0 for i in range(60)} | {100: 0, 200: 200, 201: 200, 202: 200}
 
 
 def test_components(spark):
