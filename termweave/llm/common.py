@@ -60,6 +60,36 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
+#: Rows of one key that a join brings to one task at most.
+HUB = 50_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, spread: str, n_rows: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has one row for each key. Keys of more than HUB rows of left are dealt over several parts by `spread`.
+
+    n_rows: rows of left, or more. The keys that are dealt are at most n_rows / HUB. counts (key, n): left's rows of each
+    key, if they are known.
+    """
+    if n_rows > HUB:
+        counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
+        hubs = stored(counts.where(F.col("n") > HUB).select(key, F.ceil(F.col("n") / HUB).cast("int").alias("parts")))
+        if hubs.take(1):
+            hubs = F.broadcast(hubs) if fits(hubs) else hubs
+            parts = F.coalesce("parts", F.lit(1))
+            left = left.join(hubs, key, "left").withColumn("part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts")
+            right = right.join(hubs, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+            return left.join(right, [key, "part"], how).drop("part")
+    return left.join(right, key, how)
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, with underscores behind it if df has such a column (in either case) already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

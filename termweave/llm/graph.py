@@ -5,29 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import discard, fits, stored
-
-#: Rows of one key that a join brings to one task at most.
-HUB = 50_000
-
-
-def join_spread(left: DataFrame, right: DataFrame, key: str, spread: str, n_rows: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """left joined with right, which has one row for each key. Keys of more than HUB rows of left are dealt over several parts by `spread`.
-
-    n_rows: rows of left, or more. The keys that are dealt are at most n_rows / HUB. counts (key, n): left's rows of each
-    key, if they are known.
-    """
-    if n_rows > HUB:
-        counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
-        hubs = stored(counts.where(F.col("n") > HUB).select(key, F.ceil(F.col("n") / HUB).cast("int").alias("parts")))
-        if hubs.take(1):
-            hubs = F.broadcast(hubs) if fits(hubs) else hubs
-            parts = F.coalesce("parts", F.lit(1))
-            left = left.join(hubs, key, "left").withColumn("part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts")
-            right = right.join(hubs, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-            return left.join(right, [key, "part"], how).drop("part")
-    return left.join(right, key, how)
-
+from termweave.llm import common
+from termweave.llm.common import discard, join_spread, stored
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b); label is the smallest node reachable.
@@ -45,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         near = join_spread(edges, labels.withColumnRenamed("node", "b"), "b", "a", n).groupBy(a.alias("node")).agg(F.min("label").alias("near"))
         lowered = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("at"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        lowered = stored(lowered) if n > HUB else lowered
+        lowered = stored(lowered) if n > common.HUB else lowered
         new = join_spread(lowered, jump, "at", "node", n, "left").select("node", F.least("at", F.coalesce("further", "at")).alias("label"), "old")
         new = stored(new)
         changed = new.where(F.col("label") < F.col("old")).limit(1).count()

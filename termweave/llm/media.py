@@ -185,9 +185,11 @@ class Track:
 def decode(media: bytes) -> Track:
     """The samples and their timeline. Packets without a granule position of their own are timed backwards from the next one that has."""
     streams = demultiplex(media)
-    if set(streams) != {SAMPLES, CUES} or streams[SAMPLES].packets[0].data[:6] != b"PCMU8\0":
+    if set(streams) != {SAMPLES, CUES} or not streams[SAMPLES].packets or streams[SAMPLES].packets[0].data[:6] != b"PCMU8\0":
         raise OggError("not a stream of samples with cues")
     rate, _ = struct.unpack("<IB", streams[SAMPLES].packets[0].data[6:])
+    if not rate:
+        raise OggError("a sample rate of zero")
     data, ends, known = streams[SAMPLES].packets[1:], [], None
     for p in reversed(data):
         known = p.granule if p.granule is not None else known
@@ -226,36 +228,60 @@ def features(track: Track) -> str:
     )
 
 
-MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def _rows(batches, with_media: bool):
-    for batch in batches:
-        out = {name.split()[0]: [] for name in MEDIA_SCHEMA.split(", ")}
-        media_out = []
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            raw = text.as_py().encode("utf-8", "surrogatepass")
-            media = encode(padded(raw))
-            track = decode(media)
-            back = track.samples
-            row = (doc_id.as_py(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(track))
-            for column, value in zip(out.values(), row):
-                column.append(value)
-            if with_media:
-                media_out.append(media)
-        if with_media:
-            out["media"] = media_out
-        types = {"doc_id": pa.int64(), "payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
-
-
-def to_media(df: DataFrame, key: str = "doc_id", text: str = "text", with_media: bool = True) -> DataFrame:
-    """Each text as a lossless Ogg column `media`, with what was read back from those very bytes.
-
-    The payload is the text's UTF-8 with bytes 0 up to a multiple of 64, at least one such multiple; a null
-    text counts as empty. Rows are independent of each other: equal texts give equal values, repeated rows
-    repeat, null keys stay null, columns besides key and text aren't looked at, an empty table gives an
-    empty one. Reading back raises OggError if a checksum, a lacing, a sequence number, a granule position or a
-    cue doesn't fit.
+MEDIA = "doc_id long, n_bytes long, media binary"
+READ = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "feature string, error string"
+)
+_TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes and media: each text as a lossless Ogg column.
+
+    The payload is the text's UTF-8 with bytes 0 up to a multiple of 64, at least one such multiple; a null text counts
+    as empty. A very long text is one long stream and must fit in a row, as it does in df. Rows are independent of each
+    other: equal texts give equal media, repeated rows repeat, null keys stay null, columns besides key and text aren't
+    looked at, an empty table gives an empty one.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            texts = (t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1))
+            yield _batch([(k.as_py(), len(raw), encode(padded(raw))) for k, raw in zip(batch.column(0), texts)], MEDIA)
+
+    return df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(rows, MEDIA)
+
+
+def read_media(df: DataFrame, key: str = "doc_id", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
+    """Reads a binary column: payload, digests and features of each row, or, in error, why there are none.
+
+    A checksum, lacing value, sequence number, granule position or cue that doesn't fit, foreign streams and cut-off bytes
+    are such reasons, and so is null; the row then keeps its media's size and digest and has null besides. n_bytes is
+    passed on if there is such a column. Repeated rows repeat, null keys stay null, other columns aren't looked at, an empty
+    table gives an empty one.
     """
-    return df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(lambda b: _rows(b, with_media), MEDIA_SCHEMA + ", media binary" * with_media)
+
+    def read(doc_id, size, raw: bytes | None) -> tuple:
+        if raw is None:
+            return doc_id, size, None, None, None, None, None, None, "null"
+        whole = len(raw), hashlib.sha256(raw).hexdigest()
+        try:
+            track = decode(raw)
+        except (OggError, struct.error) as wrong:
+            return doc_id, size, None, None, None, *whole, None, str(wrong)
+        back = track.samples
+        return doc_id, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), *whole, features(track), None
+
+    def rows(batches):
+        for batch in batches:
+            yield _batch([read(*(x.as_py() for x in r)) for r in zip(*(batch.column(i) for i in range(3)))], READ)
+
+    size = F.col(n_bytes).cast("long") if n_bytes in df.columns else F.lit(None).cast("long")
+    return df.select(F.col(key).cast("long").alias("doc_id"), size.alias("n_bytes"), F.col(media).cast("binary").alias("media")).mapInArrow(rows, READ)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, small, stored, text_of
+from termweave.llm.common import WORD, fits, join_spread, small, stored, text_of
 
 #: Digits of the seeded order by which the fractional repetition's end is looked for: 60 bits, 12 at a time.
 ORDER_BITS, DIGIT_BITS = 60, 12
@@ -71,7 +71,10 @@ def _descend(rows: DataFrame, plan: DataFrame, level: int) -> tuple[DataFrame, D
     return rows.join(cut.select("source_key", F.col("at").alias("digit")), ["source_key", "digit"]).drop("digit"), cut.select("source_key", "need")
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 20, key: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def mix(
+    df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 20,
+    key: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None, prefix: str = "mix_",
+) -> DataFrame:
     """Every row of df with mix_size, mix_source_size, mix_target and mix_taken (words that the mix takes of it, repeats counted).
 
     Each row is taken whole floor(target / source size) times. The fractional repetition takes rows in
@@ -81,9 +84,10 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1
 
     keep: columns to carry besides the key and the source (default: all of df's). Null or blank texts have
     size 0 and take 0; null keys are placed like an empty key; a null source is a source of its own, last
-    in order; an empty table gives an empty table. Columns of df named like the added ones are replaced.
+    in order; very long texts are counted whole; an empty table gives an empty table. Columns of df named like the added ones,
+    which begin with prefix, are replaced.
     """
-    added = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
+    added = {prefix + c: c for c in ("size", "source_size", "target", "taken")}
     kept = [c for c in (df.columns if keep is None else [key, source, *keep]) if c not in added]
     kept = list(dict.fromkeys(kept))
     row = F.struct(*kept).alias("row")
@@ -104,14 +108,22 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1
         .groupBy("source_key").agg(F.min(F.struct("place", F.floor((F.col("need") - F.col("upto") + F.col("words")) / F.col("n")).cast("long").alias("part"))).alias("x"))
         .select("source_key", F.col("x.place").alias("cut"), F.col("x.part").alias("part"))
     )
-    plan = small(stored(plan.join(cut, "source_key", "left")))
+    plan = stored(plan.join(cut, "source_key", "left"))
     partial = F.when(F.col("place") < F.col("cut"), F.col("size")).when(F.col("place") == F.col("cut"), F.least("part", "size")).otherwise(0)
-    out = base.drop("source").join(plan, "source_key").withColumn("taken", (F.col("epochs") * F.col("size") + partial).cast("long"))
+    base = base.drop("source")
+    # Few sources are broadcast; of more, each is dealt over several tasks by its rows' places.
+    met = base.join(F.broadcast(plan), "source_key") if fits(plan) else join_spread(base, plan, "source_key", "place", compact.count())
+    out = met.withColumn("taken", (F.col("epochs") * F.col("size") + partial).cast("long"))
     return out.select(*(F.col("row")[c].alias(c) for c in kept), *(F.col(c).alias(name) for name, c in added.items()))
 
 
 def copies(df: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of df as often as it is taken; the one at a source's cut counts as taken if at least half of it is."""
-    mixed = mix(df, **options)
-    times = F.when(F.col("mix_size") > 0, F.round(F.col("mix_taken") / F.col("mix_size"))).otherwise(F.floor(F.col("mix_target") / F.greatest(F.col("mix_source_size"), F.lit(1)))).cast("int")
-    return mixed.withColumn("mix_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*df.columns)
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    mixed = mix(df, prefix=prefix, **options)
+    size, taken, target, whole = (F.col(prefix + c) for c in ("size", "taken", "target", "source_size"))
+    times = F.when(size > 0, F.round(taken / size)).otherwise(F.floor(target / F.greatest(whole, F.lit(1)))).cast("int")
+    each = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
+    return mixed.withColumn(prefix + "copy", each).select(*df.columns)

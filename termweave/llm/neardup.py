@@ -11,9 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from termweave.llm.common import small, stored, text_of
-from termweave.llm.graph import components, join_spread
+from termweave.llm.common import join_spread, small, stored, text_of
+from termweave.llm.graph import components
 
 #: Members of a large group with which all others are compared, and rows of one that a task compares at once.
 PIVOTS, BLOCK = 8, 2048
@@ -381,6 +382,18 @@ def _linked(rows: DataFrame, sizes: DataFrame, metric: Metric) -> DataFrame:
     return out
 
 
+def with_set(df: DataFrame, column: str, n: int = 5, text: str = "text") -> DataFrame:
+    """df with the 128-bit name of each text's set of shingles (null without any) in a new column."""
+
+    def rows(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            names = pa.array([_node(shingles(words_of(t.as_py() or ""), n)) for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, column])
+
+    return df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField(column, T.StringType())]))
+
+
 def near_duplicates(
     df: DataFrame, n: int = 5, percent: int = 80, index: Index = Index(), key: str = "doc_id", text: str = "text", with_sets: bool = False
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import chat, editcount, media, mixing, neardup, packing, pages, quality, secrets, topk
+from termweave.llm import chat, editcount, media, mixing, neardup, packing, pages, quality, secrets, stages, topk
 from termweave.llm.common import read, text_of
 
 ODD_TURN = "\\### Assistant: </turn> ok"
@@ -26,7 +26,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.to_media(read(spark, sf_dir, "documents"), with_media=False)
+    """Texts become a media column; what is returned is read from that column by an operator of its own."""
+    return media.read_media(media.to_media(read(spark, sf_dir, "documents"))).drop("error")
 
 
 def op4_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +64,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length(text_of()).cast("int")
     edit = lambda start, end, new: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(new).alias("text"))
     edits = F.array(edit(n / 3, n / 3, " (put in later) "), edit(n / 2, n / 2 + 40, ""), edit(n - 34, n - 24, "the end."))
-    return editcount.count_after_edits(read(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")))
+    trees = editcount.with_trees(read(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")))
+    out = editcount.apply_edits(trees)
+    return out.select("doc_id", "n_pretokens", "n_tokens", "tokens_after", "chars_after", "chars_encoded_again")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

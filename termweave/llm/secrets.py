@@ -9,9 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import small, stored, text_of
+from termweave.llm.common import fits, join_spread, stored, text_of
 from termweave.llm.trigrams import ALL, Query, trigram_query
 
+#: Places of the bitmap of candidate keys, 16 MB of them whatever the corpus, and of one of its rows.
+BITMAP_BITS, ROW_BITS = 2**27, 2**15
 #: Texts of a shard of the index, on average; posting lists are no longer than that.
 SHARD = 1024
 
@@ -93,42 +95,81 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     are the positions.
     """
     pattern = F.lit(rule.java)
-    match, checked = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    match = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, rule.java, -1)
-    parts = F.transform(match, lambda m, i: F.struct(F.length(F.element_at(gaps, i + 1)).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"), (F.length(F.element_at(checked, i + 1)) >= rule.least).alias("good")))
+    # Arrays are zipped and not looked into by number, which would make them anew for each match. Only a rule that looks at a
+    # group of its match needs to extract that, too.
+    if rule.group:
+        checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+        found = F.zip_with(match, checked, lambda m, c: F.struct(F.length(m).cast("bigint").alias("size"), (F.length(c) >= rule.least).alias("good")))
+    else:
+        found = F.transform(match, lambda m: F.struct(F.length(m).cast("bigint").alias("size"), (F.length(m) >= rule.least).alias("good")))
+    parts = F.zip_with(found, gaps, lambda f, g: F.struct(F.length(g).cast("bigint").alias("gap"), f["size"].alias("size"), f["good"].alias("good")))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(acc: Column, part: Column) -> Column:
         begin = acc["at"] + part["gap"]
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), (begin + part["size"]).alias("stop"))
-        return F.struct((begin + part["size"]).alias("at"), F.when(part["good"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        # What follows the last match has no size.
+        stop = begin + F.coalesce(part["size"], F.lit(0))
+        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"))
+        return F.struct(stop.alias("at"), F.when(part["good"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     return F.when(F.rlike(text, pattern), F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """df with `secret_spans`, array of (start, kind, stop) sorted by start, then by the rule's number.
+def _bitmap(hits: DataFrame) -> DataFrame:
+    """(bits_row, bits): the places of all keys in a bitmap of BITMAP_BITS places, in rows of ROW_BITS; at most 16 MB."""
+    place = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(BITMAP_BITS))
+    row = F.floor(place / ROW_BITS).cast("int").alias("bits_row")
+    return hits.groupBy(row).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(ROW_BITS))).alias("bits"))
 
-    Rules whose matches must hold some trigrams are looked up in an inverted index and only verified on
-    candidate texts; the others scan every whole text. Candidates go back to the rows by a join on the text's
-    key, by broadcast if a count shows that they are few.
 
-    Null texts are empty and have no spans; repeated rows and equal texts have equal spans; a column of df
-    named secret_spans is replaced; an empty table gives an empty one.
+def _in_bitmap(key: Column, bits: Column) -> Column:
+    place = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(ROW_BITS))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
+def _with_rules(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """rows (row, key) with the rules that each is a candidate for; null for none.
+
+    Few candidates are broadcast. Of more, a bitmap of their keys is; rows that it rules out stay where they are, the
+    others are joined by a shuffle, copies of a text over several tasks.
+    """
+    if fits(hits):
+        return rows.join(F.broadcast(hits), "key", "left")
+    at = F.floor(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(BITMAP_BITS)) / ROW_BITS).cast("int")
+    marked = rows.withColumn("bits_row", at).join(F.broadcast(_bitmap(hits)), "bits_row", "left")
+    marked = marked.select("row", "key", _in_bitmap(F.col("key"), F.col("bits")).alias("may"))
+    some = marked.where("may").select("row", "key", F.monotonically_increasing_id().alias("place"))
+    # Rows of each key: the hub test reads keys only.
+    counts = stored(marked.where("may").groupBy("key").agg(F.count("*").alias("n")))
+    n = counts.agg(F.sum("n")).head()[0] or 0
+    met = join_spread(some, hits, "key", "place", n, "left", counts).select("row", "rules")
+    return met.unionByName(marked.where("not may").select("row", F.lit(None).cast("array<int>").alias("rules")))
+
+
+def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", column: str = "secret_spans") -> DataFrame:
+    """df with a column of spans, array of (start, kind, stop) sorted by start, then by the rule's number.
+
+    Rules whose matches must hold some trigrams are looked up in an inverted index and only verified on candidate
+    texts; the others scan every whole text. Candidates go back to the rows by the text's key (see _with_rules).
+
+    Null texts are empty and have no spans; very long ones are scanned whole; repeated rows and equal texts have equal
+    spans; a column of df with the new one's name is replaced; an empty table gives an empty one.
     """
     indexed = [(n, r) for n, r in enumerate(rules) if r.query != ALL]
     grams = sorted({g for _, r in indexed for clause in r.query for g in clause})
-    df = df.drop("secret_spans")
-    body = text_of(text)
-    row = F.struct(*df.columns).alias("row")
-    found = [spans_of(F.col("body"), r, n) for n, r in enumerate(rules) if r.query == ALL]
-    rows = df.select(row, body.alias("body"))
+    df = df.drop(column)
+    body = F.coalesce(F.col("row")[text], F.lit(""))
+    found = [spans_of(body, r, n) for n, r in enumerate(rules) if r.query == ALL]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     if indexed:
         hits = stored(candidates(build_index(df, grams, text), tuple(r for _, r in indexed)))
-        rows = rows.withColumn("key", text_key(F.col("body"))).join(small(hits), "key", "left")
+        rows = _with_rules(rows.select("row", text_key(body).alias("key")), hits)
         nothing = F.array().cast(f"array<{SPAN}>")
-        found += [F.when(F.array_contains("rules", i), spans_of(F.col("body"), r, n)).otherwise(nothing) for i, (n, r) in enumerate(indexed)]
-    return rows.withColumn("spans", F.sort_array(F.concat(*found))).select("row.*", F.col("spans").alias("secret_spans"))
+        found += [F.when(F.array_contains("rules", i), spans_of(body, r, n)).otherwise(nothing) for i, (n, r) in enumerate(indexed)]
+    return rows.withColumn("spans", F.sort_array(F.concat(*found))).select("row.*", F.col("spans").alias(column))
 
 
 def described(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -4,6 +4,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from termweave.llm import chat, media
 
@@ -55,16 +56,31 @@ def test_damage_is_found():
 def test_media_columns(spark):
     rows = [(1, "a" * 64, 1), (2, None, 1), (3, "", 1), (None, "é" * 3000, 1), (1, "a" * 64, 2), (4, "x" * 300_000, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, feature int")
-    out = media.to_media(df).collect()
+    made = media.to_media(df)
+    stored = {r.doc_id: r for r in made.collect()}
+    out = media.read_media(made.withColumn("feature", F.lit(1))).collect()
     assert len(out) == len(rows)
     by_text = {}
     for r in out:
         raw = {1: b"a" * 64, 2: b"", 3: b"", None: ("é" * 3000).encode(), 4: b"x" * 300_000}[r.doc_id]
         payload = raw + bytes((-len(raw)) % 64 or 64 * (not raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert media.decode(r.media).samples == payload and hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.media) == r.media_bytes
-        assert by_text.setdefault(raw, r.feature) == r.feature
-    assert media.to_media(df.limit(0)).count() == 0
+        held = stored[r.doc_id].media
+        assert media.decode(held).samples == payload and hashlib.sha256(held).hexdigest() == r.media_sha256 and len(held) == r.media_bytes
+        assert by_text.setdefault(raw, r.feature) == r.feature and r.error is None
+    assert media.read_media(media.to_media(df.limit(0))).count() == 0
+
+
+def test_damaged_rows_have_a_reason_and_dont_end_the_job(spark):
+    good = media.encode(b"some text" * 2000)
+    damaged = [good[:35] + bytes([good[35] ^ 1]) + good[36:], good[:-20], b"", b"OggS", b"no media at all" * 50, None]
+    foreign = media._Writer(7)
+    foreign = b"".join([*foreign.add(b"another codec", 0), foreign.page(media.LAST)])
+    df = spark.createDataFrame([(i, raw) for i, raw in enumerate([good, *damaged, foreign])], "doc_id long, media binary")
+    out = {r.doc_id: r for r in media.read_media(df).collect()}
+    assert out[0].error is None and out[0].payload_bytes == 18_000 and out[0].n_bytes is None
+    assert all(out[i].error and out[i].feature is None and out[i].payload_bytes is None for i in range(1, 8))
+    assert "checksum" in out[1].error and out[2].media_bytes == len(good) - 20 and out[6].error == "null" and "samples with cues" in out[7].error
 
 
 @settings(max_examples=200, deadline=None)

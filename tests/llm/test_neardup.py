@@ -148,9 +148,9 @@ def test_all_signatures_within_the_radius_meet():
 
 
 def test_hubs_are_dealt_out(spark, monkeypatch):
-    from termweave.llm import graph
+    from termweave.llm import common
 
-    monkeypatch.setattr(graph, "HUB", 5)
+    monkeypatch.setattr(common, "HUB", 5)
     links = [(100, i) for i in range(40)] + [(40 + i, 100) for i in range(20)] + [(200, 201), (201, 202)]
     out = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
     assert out == {i: 0 for i in range(60)} | {100: 0, 200: 200, 201: 200, 202: 200}

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termweave.llm import secrets
+from termweave.llm import common, secrets
 from termweave.llm.trigrams import ALL, trigram_query
 
 PLAIN = {
@@ -41,6 +41,19 @@ def test_base_spans_are_those_of_plain_scans(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_many_candidates_go_by_a_bitmap(spark, monkeypatch):
+    """Beyond what is broadcast: rows that the bitmap rules out stay, copies of a candidate are dealt over tasks, columns keep their names."""
+    monkeypatch.setattr(secrets, "fits", lambda df: False)
+    monkeypatch.setattr(common, "HUB", 4)
+    monkeypatch.setattr(secrets, "BITMAP_BITS", 2**16)
+    rows = [(i, t, "clash") for i, t in enumerate(TEXTS + ["token=abcdef1"] * 30 + [f"plain {i}" for i in range(200)])]
+    df = spark.createDataFrame(rows, "key long, text string, may string")
+    out = secrets.scan(df, column="found").collect()
+    assert sorted(r.key for r in out) == [r[0] for r in rows] and all(r.may == "clash" for r in out)
+    for r in out:
+        assert [(s.start, s.kind, s.stop) for s in r.found if s.kind < 3] == plain(r.text), r.text
+
+
 def test_more_kinds_and_description(spark):
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "zA1g" * 10 + " xoxb-1234567890ab eyJhbGciOi.no eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

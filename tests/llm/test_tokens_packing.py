@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from termweave.llm import editcount, packing, tokens
+from pyspark.sql import functions as F
+
+from termweave.llm import common, editcount, packing, tokens
 
 
 def library(specials):
@@ -106,7 +108,9 @@ def test_edits_count_like_a_new_text(own_library):
             start = rng.randint(0, len(edited.text))
             edited.edit(start, start + rng.choice([0, 1, 2, 5, 300]), "".join(rng.choices(pieces, k=rng.choice([0, 1, 3, 200]))))
             assert edited.tokens == len(own_library(edited.text))
-            assert edited.tree.total[0] == len(edited.text)
+            assert (edited.tree.chars if edited.tree else 0) == len(edited.text)
+            # The tree as kept is the same.
+            assert np.array_equal(editcount.leaves_of(editcount.load(editcount.dump(edited.tree))), editcount.leaves_of(edited.tree))
 
 
 def test_edits_touch_little():
@@ -115,10 +119,41 @@ def test_edits_touch_little():
     assert edited.encoded < 200
 
 
-def test_count_after_edits_on_odd_rows(spark, own_library):
+def heights(tree):
+    if tree is None or tree.block is not None:
+        return 0
+    assert abs(heights(tree.left) - heights(tree.right)) <= 2
+    return tree.height
+
+
+def test_trees_stay_balanced():
+    rng, counter = random.Random(9), tokens.Counter()
+    edited = editcount.EditedText("some words here " * 5000, counter)
+    for _ in range(300):
+        at = rng.randrange(len(edited.text))
+        edited.edit(at, at + rng.choice([0, 3, 4000]), rng.choice(["x", "new words " * 300, ""]))
+        assert heights(edited.tree) <= 2 * np.log2(2 + edited.pretokens / 8) + 4
+    assert edited.tokens == editcount.EditedText(edited.text, counter).tokens
+
+
+def test_apply_edits_on_odd_rows(spark, own_library):
     rows = [(1, "one two three", [(4, 7, "2")], "x"), (2, None, [(0, 5, "new")], "x"), (3, "same", None, "x"), (None, "a", [None, (9, 2, None)], "x"), (3, "same", [], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>, n_tokens string")
-    got = sorted((r.doc_id or 0, r.tokens_after, r.chars_after) for r in editcount.count_after_edits(df).collect())
     expected = [(1, "one 2 three"), (2, "new"), (3, "same"), (3, "same"), (0, "a")]
-    assert got == sorted((k, len(own_library(t)), len(t)) for k, t in expected)
-    assert editcount.count_after_edits(df.limit(0)).count() == 0
+    want = sorted((k, t, len(own_library(t)), len(t)) for k, t in expected)
+    for start in (df, editcount.with_trees(df)):  # trees are counted where there are none
+        got = sorted((r.doc_id or 0, r.text, r.tokens_after, r.chars_after) for r in editcount.apply_edits(start).collect())
+        assert got == want
+    assert editcount.apply_edits(editcount.with_trees(df.limit(0))).count() == 0
+
+
+def test_a_second_run_starts_from_the_kept_trees(spark, own_library):
+    """Trees go through a table; the second run encodes what its edits touch and nothing else."""
+    df = spark.createDataFrame([(i, f"words of text {i} " * 3000) for i in range(4)], "doc_id long, text string")
+    edit = lambda at, new: F.array(F.struct(F.lit(at).alias("start"), F.lit(at + 4).alias("end"), F.lit(new).alias("text")))
+    once = common.stored(editcount.apply_edits(editcount.with_trees(df.withColumn("edits", edit(20_000, "first change")))))
+    twice = editcount.apply_edits(once.withColumn("edits", edit(100, "second")))
+    for r in twice.collect():
+        assert r.tokens_after == len(own_library(r.text)) and "first change" in r.text and r.text[100:106] == "second"
+        assert r.chars_encoded_again < 200
+    assert sorted((r.doc_id, r.tokens_after) for r in once.collect()) == sorted((r.doc_id, r.n_tokens) for r in twice.collect())
