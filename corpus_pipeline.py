@@ -1,68 +1,10 @@
-"""Documents to packed sequences: five stages, each over all rows that its predecessor kept."""
+"""Documents to packed sequences in five stages: STAGES has (name, function), run() applies them to the documents of a folder.
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from termweave.llm import mixing, neardup, packing, quality, secrets
-from termweave.llm.common import read, small, stored
-
-#: Documents with a lower score go.
-LEAST_QUALITY = 0.3
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from labelled documents that aren't held out and drops those that score below LEAST_QUALITY."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, column="_quality").where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of least id stays.
-
-    Rows that repeat an id and a text stay once. Documents without an id stay.
-    """
-    classes = stored(neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")))
-    gone = small(stored(classes.where("not kept and n = 1").select("doc_id")))
-    repeated = small(stored(classes.where("n > 1").select("doc_id")))
-    once = docs.join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti")
-    several = docs.join(small(stored(classes.where("n > 1 and kept").select("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(*docs.columns).unionByName(several.select(*docs.columns))
+The stages themselves, what they do with odd rows and why there is no ORACLE_SQL are in termweave/llm/stages.py.
+"""
 
+from __future__ import annotations
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in place of every secret; n_chars follows the text."""
-    found = secrets.scan(docs)
-    text = secrets.redacted(F.col("text"), F.col("secret_spans"))
-    changed = {"text": text, "n_chars": F.when(F.size("secret_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.copies(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 1024 ids; copies of a document are packed each."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("minhash_near_dedup", near_dedup),
-    ("secret_scan", secret_scan),
-    ("mix_sources", mix_sources),
-    ("pack", pack),
-]
-
-#: SQL expresses neither the classifier nor the tokenizer; tests compare the stages with plain versions.
-ORACLE_SQL = None
-
+from termweave.llm.stages import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
