@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import join_spread, small, stored, text_of
+from termweave.llm.common import join_spread, passing, small, stored, text_of
 from termweave.llm.graph import components
 
+#: Tasks over which groups with the same least member are dealt.
+LEAD_TASKS = 8
 #: Members of a large group with which all others are compared, and rows of one that a task compares at once.
 PIVOTS, BLOCK = 8, 2048
 
@@ -294,12 +296,17 @@ def _jaccard_distances(rows: list[bytes], pivots: list[bytes]) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, metric: Metric) -> DataFrame:
-    """(grp, i, j, node, payload): splits groups of n members into blocks and brings each two blocks of a group together once, sorted."""
+    """(grp, i, j, node, payload): splits groups of n members into blocks and brings each two blocks of a group together once, sorted.
+
+    Groups with the same least member (lead) meet in the same LEAD_TASKS tasks: near copies are in many groups together, and a
+    task names their links once.
+    """
     met = rows.withColumn("blocks", F.ceil(F.col("n") / metric.block).cast("int"))
     met = met.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("grp", F.least("mine", "other").cast("long").alias("i"), F.greatest("mine", "other").cast("long").alias("j"), "node", "payload")
-    return met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    met = met.select("grp", F.least("mine", "other").cast("long").alias("i"), F.greatest("mine", "other").cast("long").alias("j"), "node", "payload", "lead")
+    met = met.repartition("lead", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(LEAD_TASKS))).sortWithinPartitions("grp", "i", "j")
+    return met.select("grp", "i", "j", "node", "payload")
 
 
 def _to_pivots(rows: pa.Table, pivots: pa.Table, metric: Metric) -> pa.Table:
@@ -317,7 +324,8 @@ def _to_pivots(rows: pa.Table, pivots: pa.Table, metric: Metric) -> pa.Table:
 
 
 def _linked(rows: DataFrame, sizes: DataFrame, metric: Metric) -> DataFrame:
-    """Links (a, b) among the members of each group, as stars: rows (grp, node, payload), a node once in a group; sizes (grp, n), stored.
+    """Links (a, b) among the members of each group, as stars: rows (grp, node, payload), a node once in a group; sizes (grp, n, lead), stored,
+    lead being the least node.
 
     The components that the links make are those of all pairs within metric.limit. Small groups meet as a whole. A
     large one is compared with PIVOTS of its members, chosen by hash, in as many tasks as it takes; what is within the
@@ -327,7 +335,7 @@ def _linked(rows: DataFrame, sizes: DataFrame, metric: Metric) -> DataFrame:
     grow with the pairs that only their sets can tell apart.
     """
     n_rows = sizes.agg(F.sum("n")).head()[0] or 0
-    rows = join_spread(rows, sizes, "grp", "node", n_rows, counts=sizes)
+    rows = join_spread(rows, sizes, "grp", "node", n_rows, counts=sizes.select("grp", "n"))
     links = [_meetings(rows.where(F.col("n") <= metric.whole), metric).mapInArrow(metric.links, "a long, b long")]
     if not sizes.where(F.col("n") > metric.whole).take(1):
         return links[0]
@@ -337,7 +345,7 @@ def _linked(rows: DataFrame, sizes: DataFrame, metric: Metric) -> DataFrame:
     chosen = stored(chosen.select("grp", "slot", F.col("p.node").alias("pivot"), F.col("p.payload").alias("held")))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = large.select("grp", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int").alias("part"), "node", "payload")
-    sent = chosen.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "slot", "pivot", "held")
+    sent = chosen.join(sizes.select("grp", "n"), "grp").select("grp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "slot", "pivot", "held")
     far = dealt.groupBy("grp", "part").cogroup(sent.groupBy("grp", "part"))
     far = stored(far.applyInArrow(lambda r, p: _to_pivots(r, p, metric), "grp long, node long, far array<double>, met array<long>"))
 
@@ -351,7 +359,7 @@ def _linked(rows: DataFrame, sizes: DataFrame, metric: Metric) -> DataFrame:
     # Groups that are one cluster are done.
     open_ = placed.groupBy("grp").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count_if(F.col("cluster").isNull()).alias("loose"))
     open_ = stored(open_.where("loose > 0 or x < y").select("grp"))
-    placed = join_spread(placed, open_, "grp", "node", n_rows, counts=sizes)
+    placed = join_spread(placed, open_, "grp", "node", n_rows, counts=sizes.select("grp", "n"))
 
     nearest = F.array_min("far")
     ring = F.floor(nearest / metric.limit * 4)
@@ -412,32 +420,33 @@ def near_duplicates(
     the row that names the component (of several such sets the least).
     """
     texts = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    sketches = stored(texts.mapInArrow(lambda b: _sketch(b, n, index), "doc_id long, n_shingles long, node string, signature binary"))
-    classes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature"))
-    # Short names, fixed once they are written.
-    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
-
-    entries = classes.select("id", "signature").mapInArrow(lambda b: _entries(b, index), "entry long, node long")
-    shared = entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(shared)
-    n_entries = classes.count() * index.entries
-    members = stored(join_spread(entries, shared, "entry", "node", n_entries, counts=shared).select("entry", "node"))
-    # Of a symbol its low byte: other symbols are taken for equal once in 256 times, which only adds candidates.
-    low_bytes = F.expr(f"concat({', '.join(f'substring(signature, {2 * i + 1}, 1)' for i in range(index.symbols))})")
-    members = members.join(classes.select(F.col("id").alias("node"), low_bytes.alias("payload")), "node").withColumnRenamed("entry", "grp")
-    alike = Metric(_symbols_differ, index.radius, lambda b: _near(b, index.radius), 4096, 2048)
-    groups = components(_linked(members, shared.withColumnRenamed("entry", "grp"), alike))
-
-    wanted = stored(groups.join(classes.select(F.col("id"), "node", "first"), F.col("id") == groups["node"]).select("label", "id", classes["node"], "first"))
-    ids = small(stored(wanted.groupBy("first").agg(F.count("*").alias("n")).select(F.col("first").alias("wanted_id"))))
-    whole = texts.join(ids, texts.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(lambda b: _sets(b, n), "node string, shingles binary")
-    whole = whole.groupBy("node").agg(F.min("shingles").alias("payload")).join(wanted.select("node", "label", "id"), "node")
-    whole = stored(whole.select(F.col("label").alias("grp"), F.col("id").alias("node"), "payload"))
-    confirmed = Metric(_jaccard_distances, 1 - percent / 100, lambda b: _confirm(b, percent), 512, 256)
-    sizes = stored(whole.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
-    found = components(_linked(whole, sizes, confirmed)).select(F.col("node").alias("id"), F.col("label").alias("component"))
-
-    lowest = stored(classes.select("id", "node", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    with passing(df.sparkSession) as keep:
+        sketches = keep(stored(texts.mapInArrow(lambda b: _sketch(b, n, index), "doc_id long, n_shingles long, node string, signature binary")))
+        classes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature"))
+        # Short names, fixed once they are written.
+        classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
+
+        entries = classes.select("id", "signature").mapInArrow(lambda b: _entries(b, index), "entry long, node long")
+        shared = entries.groupBy("entry").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+        shared = stored(shared)
+        n_entries = classes.count() * index.entries
+        members = stored(join_spread(entries, shared, "entry", "node", n_entries, counts=shared.select("entry", "n")).select("entry", "node"))
+        # Of a symbol its low byte: other symbols are taken for equal once in 256 times, which only adds candidates.
+        low_bytes = F.expr(f"concat({', '.join(f'substring(signature, {2 * i + 1}, 1)' for i in range(index.symbols))})")
+        members = members.join(classes.select(F.col("id").alias("node"), low_bytes.alias("payload")), "node").withColumnRenamed("entry", "grp")
+        alike = Metric(_symbols_differ, index.radius, lambda b: _near(b, index.radius), 4096, 2048)
+        groups = components(_linked(members, shared.withColumnRenamed("entry", "grp"), alike))
+
+        wanted = stored(groups.join(classes.select(F.col("id"), "node", "first"), F.col("id") == groups["node"]).select("label", "id", classes["node"], "first"))
+        ids = small(stored(wanted.groupBy("first").agg(F.count("*").alias("n")).select(F.col("first").alias("wanted_id"))))
+        whole = texts.join(ids, texts.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(lambda b: _sets(b, n), "node string, shingles binary")
+        whole = whole.groupBy("node").agg(F.min("shingles").alias("payload")).join(wanted.select("node", "label", "id"), "node")
+        whole = stored(whole.select(F.col("label").alias("grp"), F.col("id").alias("node"), "payload"))
+        confirmed = Metric(_jaccard_distances, 1 - percent / 100, lambda b: _confirm(b, percent), 512, 256)
+        sizes = stored(whole.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"))
+        found = components(_linked(whole, sizes, confirmed)).select(F.col("node").alias("id"), F.col("label").alias("component"))
+
+        lowest = keep(stored(classes.select("id", "node", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))))
     names = lowest.groupBy("component").agg(F.min("first").alias("component_id"), F.min_by("node", F.struct(F.col("first").isNull(), "first", "node")).alias("leader"))
     named = lowest.join(names, "component").select("node", "component_id", (F.col("node") == F.col("leader")).alias("leads"))
     out = sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")

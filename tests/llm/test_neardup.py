@@ -121,7 +121,7 @@ def test_five_thousand_near_copies_are_walked_through_once(spark, monkeypatch):
     sets = [(0, i, neardup.shingles(neardup.words_of(t), 4).astype("<u8").tobytes()) for i, t in rows[:5000]]
     links = neardup._linked(
         spark.createDataFrame(sets, "grp long, node long, payload binary"),
-        spark.createDataFrame([(0, 5000)], "grp long, n long"),
+        spark.createDataFrame([(0, 5000, 0)], "grp long, n long, lead long"),
         neardup.Metric(neardup._jaccard_distances, 0.2, lambda b: counted(b, 80), 512, 256),
     )
     assert links.count() < 8 * 5000 and not met
