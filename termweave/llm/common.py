@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Paths of the tables that stored() has made within the innermost passing().
+_PASSING: ContextVar[set[str] | None] = ContextVar("passing", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -35,14 +42,40 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if (passing_ := _PASSING.get()) is not None:
+        passing_.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a stored() table that nothing will read any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.stored_at)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored() within are deleted at the end, but for those that the yielded function is given: what leaves must be among them."""
+    held: set[str] = set()
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    token = _PASSING.set(held)
+    try:
+        yield keep
+    finally:
+        _PASSING.reset(token)
+        if (outer := _PASSING.get()) is not None:
+            outer |= kept
+        for path in held - kept:
+            _delete(spark, path)
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:

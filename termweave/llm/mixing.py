@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, fits, join_spread, small, stored, text_of
+from termweave.llm.common import WORD, fits, join_spread, passing, small, stored, text_of
 
 #: Digits of the seeded order by which the fractional repetition's end is looked for: 60 bits, 12 at a time.
 ORDER_BITS, DIGIT_BITS = 60, 12
@@ -94,25 +94,27 @@ def mix(
     size = word_count(text)
     base = df.select(row, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")).alias("source_key"), F.col(source).alias("source"), size.alias("size"), F.col(key).alias("key"))
     base = base.withColumn("place", seeded_order(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("size").cast("string")), seed)).drop("key")
-    compact = stored(base.select("source_key", "source", "size", "place"))
-    sizes = compact.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    plan = stored(source_targets(sizes, weights, budget, max_epochs))
-
-    rows, need = compact.select("source_key", "place", "size"), plan.select("source_key", "need")
-    for level in (1, 2):
-        rows, need = _descend(rows, need, level)
-    order = Window.partitionBy("source_key").orderBy("place")
-    cut = (
-        rows.groupBy("source_key", "place").agg(F.sum("size").alias("words"), F.count("*").alias("n")).withColumn("upto", F.sum("words").over(order)).join(need, "source_key")
-        .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("words") < F.col("need")))
-        .groupBy("source_key").agg(F.min(F.struct("place", F.floor((F.col("need") - F.col("upto") + F.col("words")) / F.col("n")).cast("long").alias("part"))).alias("x"))
-        .select("source_key", F.col("x.place").alias("cut"), F.col("x.part").alias("part"))
-    )
-    plan = stored(plan.join(cut, "source_key", "left"))
+    with passing(df.sparkSession) as keep:
+        compact = stored(base.select("source_key", "source", "size", "place"))
+        sizes = compact.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+        plan = stored(source_targets(sizes, weights, budget, max_epochs))
+
+        rows, need = compact.select("source_key", "place", "size"), plan.select("source_key", "need")
+        for level in (1, 2):
+            rows, need = _descend(rows, need, level)
+        order = Window.partitionBy("source_key").orderBy("place")
+        cut = (
+            rows.groupBy("source_key", "place").agg(F.sum("size").alias("words"), F.count("*").alias("n")).withColumn("upto", F.sum("words").over(order)).join(need, "source_key")
+            .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("words") < F.col("need")))
+            .groupBy("source_key").agg(F.min(F.struct("place", F.floor((F.col("need") - F.col("upto") + F.col("words")) / F.col("n")).cast("long").alias("part"))).alias("x"))
+            .select("source_key", F.col("x.place").alias("cut"), F.col("x.part").alias("part"))
+        )
+        plan = keep(stored(plan.join(cut, "source_key", "left")))
+        n_rows = compact.count()
     partial = F.when(F.col("place") < F.col("cut"), F.col("size")).when(F.col("place") == F.col("cut"), F.least("part", "size")).otherwise(0)
     base = base.drop("source")
     # Few sources are broadcast; of more, each is dealt over several tasks by its rows' places.
-    met = base.join(F.broadcast(plan), "source_key") if fits(plan) else join_spread(base, plan, "source_key", "place", compact.count())
+    met = base.join(F.broadcast(plan), "source_key") if fits(plan) else join_spread(base, plan, "source_key", "place", n_rows)
     out = met.withColumn("taken", (F.col("epochs") * F.col("size") + partial).cast("long"))
     return out.select(*(F.col("row")[c].alias(c) for c in kept), *(F.col(c).alias(name) for name, c in added.items()))
 

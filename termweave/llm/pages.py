@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import dom
-from termweave.llm.common import discard, fits, stored, text_of
+from termweave.llm.common import fits, passing, stored, text_of
 from termweave.llm.dom import merged, parse_structure, read_page, simple_tree_matching, standing
 
 #: A text is template if it stands at one place of a slot on this share of a host's distinct pages, and a little more:
@@ -293,6 +293,11 @@ def induce(pages: DataFrame, marks: bool = True) -> DataFrame:
     A host's wrapper is one row. Its tree has at most 50 pages' worth of nodes (see NODE_SHARE), its constants are at
     most 1 / CONSTANT_SHARE pages' worth of texts, as hashes: it grows with the host's average page, not with their number.
     """
+    with passing(pages.sparkSession) as keep:
+        return keep(_induced(pages, marks))
+
+
+def _induced(pages: DataFrame, marks: bool) -> DataFrame:
     seen = stored(pages.mapInArrow(lambda b: _observe(b, marks), SEEN))
     raw = stored(seen.where("key is not null").groupBy("host", "structure", "key").agg(F.sum("pages").alias("pages")))
     simple = _simpler(raw, _frequent(raw, lambda s: dom.words_of(s), WORD_SHARE), True)
@@ -343,10 +348,7 @@ def induce(pages: DataFrame, marks: bool = True) -> DataFrame:
     mass = mass.groupBy("host").agg(F.collect_list(F.struct("node", "chars", "links", "times", "again")).alias("mass"))
     fixed = constants.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constants"))
     joined = trees.join(mass, "host", "left").join(fixed, "host", "left").select("host", "tree", "mass", "constants")
-    out = stored(joined.mapInArrow(_wrappers, "host string, wrapper string"))
-    for used in (seen, raw, slots, at, near, constants):
-        discard(used)
-    return out
+    return stored(joined.mapInArrow(_wrappers, "host string, wrapper string"))
 
 
 class _Reader:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm import mixing, neardup, packing, quality, secrets
-from termweave.llm.common import free_name, read, small, stored
+from termweave.llm.common import discard, free_name, passing, read, small, stored
 
 #: Documents with a lower score go.
 LEAST_QUALITY = 0.3
@@ -103,7 +103,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages in turn. Each one's result is a table, which is deleted once the next one's is there."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with passing(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    # Packing has its pieces in a table of their own.
+    discard(docs)
+    return packed
