@@ -23,7 +23,8 @@ def _text(*parts: Column | str) -> Column:
 def _issue(rows: DataFrame, kind: str, level: Column | str, message: Column, context: list[Column], more: Column | None = None) -> DataFrame:
     level = F.lit(level) if isinstance(level, str) else level
     own = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("instance_id", "instantiates", "path")]
-    return rows.select(F.lit(kind).alias("type"), level.alias("severity"), message.alias("message"), *own, (F.array(*context) if more is None else F.concat(F.array(*context), more)).alias("context"))
+    told = F.array(*context) if more is None else F.concat(F.array(*context), more)
+    return rows.select(F.lit(kind).alias("type"), level.alias("severity"), message.alias("message"), *own, told.alias("context"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -76,14 +77,16 @@ def binding_enum_violations(bound: DataFrame, members: DataFrame, kinds: DataFra
     bad = matched.join(lookup_side(sizes(members)), "enum_name", "left")
     size = F.array(_text("allowed_values: ", F.coalesce("n_allowed", F.lit(0)), " terms"))
     told = F.when(F.lit(counted) | ~F.col("dynamic"), size).otherwise(F.array().cast("array<string>"))
-    message = _text("Value '", F.col("value"), "' not in ", F.when(F.col("dynamic"), "dynamic enum '").otherwise("enum '"), F.col("enum_name"), F.when(F.col("dynamic"), "' (expanded from ontology)").otherwise("'"))
+    which, end = F.when(F.col("dynamic"), "dynamic enum '").otherwise("enum '"), F.when(F.col("dynamic"), "' (expanded from ontology)").otherwise("'")
+    message = _text("Value '", F.col("value"), "' not in ", which, F.col("enum_name"), end)
     return _issue(bad.withColumn("_told", told), "binding_validation", "ERROR", message, _where(_text("field: ", F.col("field"))), F.col("_told"))
 
 
 def terms_not_found(bound: DataFrame, terms: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Bound values of configured prefixes that are no term."""
     bad = lookup.not_found(bound.where("value is not null and value_is_string").withColumn("curie", F.col("value")), terms, prefixes)
-    return _issue(bad, "term_not_found", "ERROR", _text("Term '", F.col("value"), "' not found in ontology"), _where(_text("field: ", F.col("field")), _text("prefix: ", F.col("prefix"), " (configured in oak_config)")))
+    told = _where(_text("field: ", F.col("field")), _text("prefix: ", F.col("prefix"), " (configured in oak_config)"))
+    return _issue(bad, "term_not_found", "ERROR", _text("Term '", F.col("value"), "' not found in ontology"), told)
 
 
 def label_mismatches(bound: DataFrame, labels: DataFrame) -> DataFrame:
@@ -116,7 +119,9 @@ def schema_meaning_issues(values: DataFrame, labels: DataFrame, prefixes: DataFr
     missing = F.col("actual_label").isNull()
     configured = F.coalesce("configured", F.lit(False)) | F.lit(strict)
     bad = rows.where(missing | ~F.array_contains("names", normalized(F.col("actual_label"))))
-    message = F.when(missing & configured, _text("Could not retrieve label for ", F.col("meaning"))).when(missing, _text("Unconfigured prefix, could not validate ", F.col("meaning"))).otherwise(_text("Label mismatch for ", F.col("meaning")))
+    told = lambda text: _text(text, F.col("meaning"))
+    message = F.when(missing & configured, told("Could not retrieve label for ")).when(missing, told("Unconfigured prefix, could not validate "))
+    message = message.otherwise(told("Label mismatch for "))
     level = F.when(missing, severity.unresolved(F.col("configured"), strict)).otherwise(severity.mismatched(F.col("configured"), strict))
     expected = F.when(~missing, F.array_join("names", ", "))
     return bad.select("enum_name", "value_name", level.alias("severity"), message.alias("message"), "meaning", expected.alias("expected_label"), "actual_label")
@@ -129,12 +134,16 @@ def plugin_meaning_issues(values: DataFrame, labels: DataFrame, strict: bool = F
     missing = F.col("actual_label").isNull()
     names = names_of(F.col("value_name"), F.col("title"), F.col("description"), F.col("aliases"))
     bad = named.where(missing | ((filled("title") | filled("description")) & ~F.array_contains(names, normalized(F.col("actual_label")))))
-    quoted = F.array_join(F.transform(F.array_compact(F.array(F.when(filled("title"), F.col("title")), F.when(filled("description"), F.col("description")))), lambda x: _text("'", x, "'")), ", ")
-    message = F.when(missing, _text("Ontology term '", F.col("meaning"), "' not found")).otherwise(_text("Label mismatch for ", F.col("meaning"), ": expected one of [", quoted, "], but ontology has '", F.col("actual_label"), "'"))
+    given = F.array_compact(F.array(*(F.when(filled(c), F.col(c)) for c in ("title", "description"))))
+    quoted = F.array_join(F.transform(given, lambda x: _text("'", x, "'")), ", ")
+    differs = _text("Label mismatch for ", F.col("meaning"), ": expected one of [", quoted, "], but ontology has '", F.col("actual_label"), "'")
+    message = F.when(missing, _text("Ontology term '", F.col("meaning"), "' not found")).otherwise(differs)
     kind = F.when(missing, "permissible_value_meaning").otherwise("permissible_value_label_mismatch")
     level = F.when(missing, "ERROR").otherwise(severity.plugin_mismatched(strict))
     where = F.array(_text("enum: ", F.col("enum_name")), _text("value: ", F.col("value_name")))
-    return bad.select(kind.alias("type"), level.alias("severity"), message.alias("message"), F.lit(None).cast("string").alias("instance_id"), F.col("enum_name").alias("instantiates"), F.lit(None).cast("string").alias("path"), where.alias("context"))
+    none = F.lit(None).cast("string")
+    own = [none.alias("instance_id"), F.col("enum_name").alias("instantiates"), none.alias("path")]
+    return bad.select(kind.alias("type"), level.alias("severity"), message.alias("message"), *own, where.alias("context"))
 
 
 def pair_issues(pairs: DataFrame, labels: DataFrame, prefixes: DataFrame, strict: bool = False) -> DataFrame:
@@ -143,8 +152,10 @@ def pair_issues(pairs: DataFrame, labels: DataFrame, prefixes: DataFrame, strict
     missing = F.col("actual_label").isNull()
     told = F.coalesce("configured", F.lit(False)) | F.lit(strict)
     bad = rows.where((missing & told) | (~missing & (normalized(F.col("actual_label")) != normalized(F.col("label")))))
-    message = F.when(missing, _text("Unresolvable CURIE: ", F.col("curie"))).otherwise(_text("Label mismatch for ", F.col("curie"), ": expected '", F.col("label"), "', got '", F.col("actual_label"), "'"))
-    return bad.select(F.col("location").alias("enum_name"), F.col("curie").alias("value_name"), F.lit("ERROR").alias("severity"), message.alias("message"), F.col("curie").alias("meaning"), F.col("label").alias("expected_label"), "actual_label")
+    differs = _text("Label mismatch for ", F.col("curie"), ": expected '", F.col("label"), "', got '", F.col("actual_label"), "'")
+    message = F.when(missing, _text("Unresolvable CURIE: ", F.col("curie"))).otherwise(differs)
+    own = [F.col("location").alias("enum_name"), F.col("curie").alias("value_name"), F.lit("ERROR").alias("severity"), message.alias("message")]
+    return bad.select(*own, F.col("curie").alias("meaning"), F.col("label").alias("expected_label"), "actual_label")
 
 
 def schema_counters(values: DataFrame) -> DataFrame:

@@ -442,3 +442,15 @@ def test_stream_of_pairs(spark, files, tmp_path):
     prefixes = spark.createDataFrame([("TEST", "x", True)], "prefix string, adapter string, configured boolean")
     write_issues(mention_issues(stream, terms.select("curie", "label"), prefixes), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r.enum_name for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b"]
+
+
+def test_rates_of_a_stream(spark, tmp_path):
+    from termweave.streaming.checks import issue_rates
+
+    rows = [("2026-01-01 00:01:00", "ERROR"), ("2026-01-01 00:09:59", "ERROR"), ("2026-01-01 00:10:00", "ERROR"), ("2026-01-01 00:02:00", "WARN")]
+    df = spark.createDataFrame(rows, "t string, severity string").withColumn("t", F.to_timestamp("t"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = issue_rates(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "t")
+    stream.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.window.start.minute, r.severity, r.n) for r in spark.table("rates").collect()}
+    assert got == {(0, "ERROR", 2), (10, "ERROR", 1), (0, "WARN", 1)}
