@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave.sources.storage import scratch_dir
+
 #: A side of a join is broadcast only if it was measured and has at most so many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 
@@ -18,19 +19,6 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = held.get() if held.isDefined() else None
-    if not known:
-        one_machine = spark.sparkContext.master.split("[")[0] == "local"
-        known = tempfile.mkdtemp(prefix="termweave-") if one_machine else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
 #: Paths of the tables that stored() has made within the innermost passing().
 _PASSING: ContextVar[set[str] | None] = ContextVar("passing", default=None)
 
