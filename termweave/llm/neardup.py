@@ -17,7 +17,7 @@ from termweave.llm.common import join_spread, passing, small, stored, text_of
 from termweave.llm.graph import components
 
 #: Tasks over which groups with the same least member are dealt.
-LEAD_TASKS = 8
+LEAD_TASKS = 2
 #: Members of a large group with which all others are compared, and rows of one that a task compares at once.
 PIVOTS, BLOCK = 8, 2048
 
